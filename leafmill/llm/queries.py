@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .exact import OP4_SQL, op4_exact_dedup
 from .minhash import op1_minhash_near_dedup
+from .tiling import op2_decontamination
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_decontamination": op2_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
 }
 
