@@ -22,6 +22,10 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+#: For classifiers: what separates words besides spaces, ASCII control bytes and punctuation.
+NOT_WORD = np.zeros(256, dtype=bool)
+NOT_WORD[:128] = [not chr(c).isalnum() for c in range(128)]
+
 
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=U64)
@@ -71,7 +75,7 @@ def blocks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(offsets: np.ndarray, data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of non-space bytes, and per text the first word's index.
 
     Spaces are the ASCII ones (0x20, 0x09-0x0D); a word never spans two texts.
@@ -79,7 +83,7 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(data):
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     edges = offsets[(offsets > 0) & (offsets < len(data))]
