@@ -68,6 +68,8 @@ _SKETCHES = "doc_id long, n long, set_a long, set_b long, bands array<long>, cod
 #: A pair at similarity 0.75 agrees in 96 of 128 coordinates on average (deviation 4.9);
 #: under 66 agreements (over six deviations) it is not verified.
 _AGREE = 66
+#: Buckets of more members are compared in cells of two blocks of about _BLOCK members.
+_SMALL, _BLOCK = 16, 256
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +88,12 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first)), *map(pa.array, digest), bands, code], ["doc_id", "n", "set_a", "set_b", "bands", "code"])
 
 
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, grams, first in _texts_to_sets(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64)))], ["doc_id", "grams"])
+
+
 def _promising_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = (T.utf8(c)[1].reshape(-1, COORDINATES) for c in batch.columns[2:4])
@@ -113,6 +121,60 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
 
+def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each cell; its rows (key, i, j, blk, doc_id, part, text) come one after another."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        where = np.stack([rest.column(c).to_numpy() for c in range(3)])
+        cuts = np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1
+        for a, b in zip(np.concatenate(([0], cuts[:-1])), cuts, strict=True) if len(cuts) else ():
+            yield _cell_links(rest.slice(a, b - a))
+        if len(cuts):
+            rest = rest.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield _cell_links(rest)
+
+
+def _cell_links(cell: pa.Table) -> pa.RecordBatch:
+    i, j = cell.column(1)[0].as_py(), cell.column(2)[0].as_py()
+    block, ids, part = (cell.column(c).to_numpy() for c in (3, 4, 5))
+    grams, size = [], np.zeros(len(ids), np.int64)
+    for a, b, g, first in _texts_to_sets(cell.column(6)):
+        grams.append(g)
+        size[a:b] = np.diff(first)
+    owner = np.repeat(np.arange(len(ids)), size)
+    _, where, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_inverse=True, return_counts=True)
+    shared = times[where] > 1
+    owner, where = owner[shared], where[shared]
+    order = np.argsort(where, kind="stable")
+    owner, where = owner[order], np.unique(where[order], return_inverse=True)[1]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    common = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(where[-1]) + 1 if len(where) else 0, 2048):
+        a, b = np.searchsorted(where, (lo, lo + 2048))
+        has = np.zeros((len(ids), 2048), np.float32)
+        has[owner[a:b], where[a:b] - lo] = 1
+        common += has[left] @ has[right].T
+    total = size[left][:, None] + size[right][None] - common
+    x, y = np.nonzero((100 * common >= 75 * total) & (part[left][:, None] != part[right][None]))
+    parent, found = {}, []
+
+    def root(v: int) -> int:
+        while parent.get(v, v) != v:
+            v = parent[v]
+        return v
+
+    for u, v in zip(left[x], right[y], strict=True):
+        ru, rv = root(part[u]), root(part[v])
+        if ru != rv:
+            parent[max(ru, rv)] = min(ru, rv)
+            found.append((ids[u], ids[v]))
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: its id, n_shingles, component_id, kept.
 
@@ -124,12 +186,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with equal sets collapse to the smallest id. (3) Band buckets of two or
     more sets compare every member with one leader: a star, linear in the bucket, not
     its square. Pairs whose sketches agree are joined with their texts and the links
-    confirmed on full sets. (4) Components of the links; the leaders, compared with all
-    of their bucket, leave it. What is unsettled are pairs of members of one bucket in
-    different components; while they outnumber all bucket rows by four, each such bucket
-    goes on with another leader, then all of them are compared. So every pair that shares
-    a bucket is compared, or connected already; none is left out, and at no time are
-    more than four pairs a bucket row made.
+    confirmed on full sets. (4) Components of the links. Leaders, compared with all of
+    their bucket, leave it. What is unsettled are pairs of members of one bucket in
+    different components. Members with too many shingles of their own for any link leave
+    as well. The rest is compared, in small buckets pair by pair, in large ones block by
+    block within a task. So every pair that shares a bucket is compared, connected already
+    or excluded by a bound, and no large group is made into rows of pairs.
 
     Nulls, empty texts and texts without words have no shingles and link with
     nothing. A row without id is never linked; its component is null and it is kept.
@@ -146,45 +208,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = sets.select("rep", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).where("c > 1").select("key", "lead")
     members = scratch.save(keyed.join(shared, "key"), "members")
-    facts = scratch.save(sets.select("rep", "n", "code").join(members.select("rep").distinct(), "rep", "left_semi"), "facts")
+    facts = scratch.save(sets.select("rep", "n", F.lit(0).cast("long").alias("u"), "code").join(members.select("rep").distinct(), "rep", "left_semi"), "facts")
     # Only texts in some bucket of two take part from here on.
     texts = scratch.save(rows.join(facts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
-    limit = 4 * members.count()
-    pairs = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    links = tried = None
-    rounds, last = 0, False
-    while True:
-        coded = pairs.join(facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("code").alias("ca")), "a")
-        coded = coded.join(facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("code").alias("cb")), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-        pairs = scratch.save(coded.select("a", "b", "ca", "cb").mapInArrow(_promising_batches, "a long, b long"), "pairs")
-        sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        found = scratch.save(sides.select("a", "b", "ta", "tb").mapInArrow(_verify_batches, "a long, b long").distinct(), "links")
-        if last and found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        parts = scratch.save(components(links, scratch), "components")
-        if last:
-            break
-        # What is left: buckets of several components, without the leaders compared with all others.
-        label = parts.select(F.col("node").alias("rep"), F.col("component").alias("part"))
-        left = members.where("rep <> lead").select("key", "rep").join(label, "rep", "left").select("key", "rep", F.coalesce("part", "rep").alias("part"))
-        mixed = left.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-        left = scratch.save(left.join(mixed, "key"), "left")
-        each = left.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.expr("(pow(sum(c), 2) - sum(c * c)) / 2").alias("pairs"), F.sum("c").alias("c"))
-        open_pairs, open_rows = each.agg(F.sum("pairs"), F.sum("c")).first()
-        if not open_rows:
-            break
-        rounds += 1
-        last = open_pairs <= limit
-        if last:
-            other = left.select("key", F.col("rep").alias("b"), F.col("part").alias("part_b"))
-            pairs = left.withColumnRenamed("rep", "a").join(other, "key").where("a > b and part <> part_b")
-        else:
-            lead = left.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(rounds))).alias("lead"), F.min_by("part", F.xxhash64("rep", F.lit(rounds))).alias("part_b"))
-            members = scratch.save(left.join(lead, "key"), "members")
-            pairs = members.where("part <> part_b").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b"))
-        pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    stars = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    links = _linked(stars, facts, texts, scratch)
+    parts = scratch.save(components(links, scratch), "components")
+    # What is left: buckets of several components, without the leaders compared with all others.
+    label = parts.select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    left = members.where("rep <> lead").select("key", "rep").join(label, "rep", "left").select("key", "rep", F.coalesce("part", "rep").alias("part"))
+    left = scratch.save(_mixed(left), "left")
+    if not left.isEmpty():
+        facts = scratch.save(_own_shingles(facts, texts, left), "facts")
+        left = left.drop("m").join(facts.where("4 * (n - u) >= 3 * n").select("rep", "n", "u"), "rep")
+        left = scratch.save(_mixed(left), "left")
+        small = left.where(f"m <= {_SMALL}")
+        one, other = (small.select("key", F.col("rep").alias(x), F.col("part").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("u").alias(f"u{x}")) for x in "ab")
+        pairs = one.join(other, "key").where("a > b and pa <> pb and 7 * least(na - ua, nb - ub) >= 3 * (na + nb)").select("a", "b").distinct()
+        more = _linked(pairs.join(stars, ["a", "b"], "left_anti"), facts, texts, scratch).union(_linked_in_cells(left.where(f"m > {_SMALL}"), texts, scratch))
+        parts = scratch.save(components(links.union(more), scratch), "components")
     belongs = sets.select("set_a", "set_b", "n", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     belongs = belongs.select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
     return sketches.select("doc_id", "n", "set_a", "set_b").join(belongs, ["set_a", "set_b", "n"], "left").select(
@@ -195,5 +237,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _side(facts: DataFrame, x: str) -> DataFrame:
+    return facts.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("u").alias(f"u{x}"), F.col("code").alias(f"c{x}"))
+
+
+def _linked(pairs: DataFrame, facts: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that are links: sketches first, then full sets."""
+    # With k = min(own shingles of a, of b that others have), the similarity is at most k / (na + nb - k).
+    coded = pairs.join(_side(facts, "a"), "a").join(_side(facts, "b"), "b").where("7 * least(na - ua, nb - ub) >= 3 * (na + nb)")
+    pairs = scratch.save(coded.select("a", "b", "ca", "cb").mapInArrow(_promising_batches, "a long, b long"), "pairs")
+    sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    return scratch.save(sides.select("a", "b", "ta", "tb").mapInArrow(_verify_batches, "a long, b long").distinct(), "links")
+
+
+def _linked_in_cells(left: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between components within large buckets, without making the pairs as rows.
+
+    A bucket's members fall into blocks of about ``_BLOCK`` by a hash; a cell is a pair
+    of blocks. A task gets the texts of a cell and intersects its sets at once, and
+    reports only links that join components.
+    """
+    blocks = F.ceil(F.col("m") / F.lit(_BLOCK)).cast("int")
+    placed = left.select("key", "rep", "part", blocks.alias("k")).withColumn("blk", F.pmod(F.xxhash64("rep"), "k").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cells = placed.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", F.col("rep").alias("doc_id"), "part").join(texts, "doc_id")
+    dealt = cells.select("key", "i", "j", "blk", "doc_id", "part", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return scratch.save(dealt.mapInArrow(_cell_batches, "a long, b long").distinct(), "cell-links")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, and m, their number in the bucket."""
+    mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
+    return members.join(mixed, "key")
+
+
+def _own_shingles(facts: DataFrame, texts: DataFrame, left: DataFrame) -> DataFrame:
+    """``facts`` with u: how many of its shingles a document shares with no other one of ``left``.
+
+    It can link only if 3/4 of its shingles occur elsewhere, so that a heavily
+    edited copy is settled by counting, not by comparing it with its whole family.
+    """
+    some = texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    grams = some.mapInArrow(_shingle_batches, "doc_id long, grams array<long>").select("doc_id", F.explode("grams").alias("g"))
+    lone = grams.groupBy("g").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep = other").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+    return facts.drop("u").join(lone, "rep", "left").select("rep", "n", F.coalesce("lone", F.lit(0)).alias("u"), "code")
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .exact import OP4_SQL, op4_exact_dedup
+from .langid import op8_language_id
 from .minhash import op1_minhash_near_dedup
 from .tiling import op2_decontamination
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL = {
