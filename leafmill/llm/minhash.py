@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.save(keyed.join(shared, "key"), "members")
     facts = scratch.save(sets.select("rep", "n", F.lit(0).cast("long").alias("u"), "code").join(members.select("rep").distinct(), "rep", "left_semi"), "facts")
     # Only texts in some bucket of two take part from here on.
-    texts = scratch.save(rows.join(facts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    texts = scratch.save(rows.hint("merge").join(facts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
     stars = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     links = _linked(stars, facts, texts, scratch)
     parts = scratch.save(components(links, scratch), "components")
