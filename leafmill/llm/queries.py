@@ -7,6 +7,8 @@ from .exact import OP4_SQL, op4_exact_dedup
 from .langid import op8_language_id
 from .minhash import op1_minhash_near_dedup
 from .mixing import op6_source_mixing
+from .pii import op9_pii_surrogates
+from .repeats import op3_suffix_array_dedup
 from .tiling import op2_decontamination
 from .toxicity import op5_toxicity
 from .urls import op7_url_filter
@@ -14,11 +16,13 @@ from .urls import op7_url_filter
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_source_mixing": op6_source_mixing,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_chat_preferences": op10_chat_preferences,
 }
 
