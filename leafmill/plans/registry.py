@@ -2,5 +2,232 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.functions import text as X
+from leafmill.operators import audit as A
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+_LINES = """
+lines AS (SELECT doc_id, unnest(str_split(replace(coalesce(text, ''), chr(9), '    '), chr(10))) AS s, generate_subscripts(str_split(replace(coalesce(text, ''), chr(9), '    '), chr(10)), 1) AS ln FROM documents),
+pieces AS (SELECT doc_id, ln, k, substring(s, CAST(k * 45 + 1 AS BIGINT), 45) AS line FROM (SELECT doc_id, ln, s, unnest(range(0, greatest(1, CAST(ceil(length(s) / 45.0) AS BIGINT)))) AS k FROM lines)),
+laid AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) - 1 AS pos FROM pieces)"""
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos // 55 + 1 AS page_no, pos % 55 + 1 AS line_no, line FROM laid")
+def paginate_documents(spark, sf_dir):
+    return X.paginate(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+_ESCAPED = r"""
+regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line,
+ '([\\`*_{}\[\]<>|])', '\\\1', 'g'), '!(\\\[)', '\\!\1', 'g'),
+ '^( {0,3})(#{1,6})(\s|$)', '\1\\\2\3'), '^( {0,3})([+-])(\s|$)', '\1\\\2\3'),
+ '^( {0,3})(-[- \t]*-[- \t]*-[- \t]*)$', '\1\\\2'), '^( {0,3}[0-9]{1,9})\.(\s|$)', '\1\\.\2')"""
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos // 55 + 1 AS page_no, string_agg({_ESCAPED}, chr(10) ORDER BY pos) AS markdown FROM laid GROUP BY 1, 2")
+def markdown_pages(spark, sf_dir):
+    lines = X.paginate(table(spark, sf_dir, "documents", "doc_id", "text"))
+    escaped = lines.select("doc_id", "page_no", "line_no", X.markdown_escape(F.col("line")).alias("line"))
+    return escaped.groupBy("doc_id", "page_no").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("markdown"))
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, pos // 55 + 1 AS page_no, string_agg({_ESCAPED}, chr(10) ORDER BY pos) AS m FROM laid GROUP BY 1, 2)
+SELECT doc_id, string_agg('<!-- page: ' || page_no || ' -->' || chr(10) || chr(10) || m || chr(10), chr(10) ORDER BY page_no) AS markdown FROM p GROUP BY doc_id""")
+def markdown_document(spark, sf_dir):
+    page = F.concat(F.lit("<!-- page: "), F.col("page_no"), F.lit(" -->\n\n"), F.col("markdown"), F.lit("\n"))
+    return markdown_pages(spark, sf_dir).withColumn("page", page).groupBy("doc_id").agg(F.expr("listagg(page, '\n') WITHIN GROUP (ORDER BY page_no)").alias("markdown"))
+
+
+@query(r"SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[\\`*_{}\[\]<>|]', '', 'g')) AS BIGINT) AS controls FROM documents")
+def line_escape_stats(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.regexp_count("text", F.lit(r"[\\`*_{}\[\]<>|]")).cast("long").alias("controls"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN strlen(text) = 0 THEN 'EMPTY' WHEN strlen(text) > 262144000 THEN 'TOO_LARGE'
+WHEN regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]') THEN 'UNSAFE_TEXT' END AS error_code FROM documents""")
+def text_control_check(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.text_error(F.col("text")).alias("error_code"))
+
+
+@query("SELECT source, bool_or(contains(text, chr(65533)) OR contains(text, chr(0))) AS lossy, count(*) AS n FROM documents GROUP BY source")
+def fidelity_gate(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "source", "text").groupBy("source").agg(F.bool_or(F.col("text").rlike("[\\x00\ufffd]")).alias("lossy"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM documents")
+def xml_escape_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.xml_escape(F.col("text")).alias("escaped"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS pages FROM conversations GROUP BY conv_id")
+def text_join_pages(spark, sf_dir):
+    return table(spark, sf_dir, "conversations", "conv_id", "turn", "text").groupBy("conv_id").agg(F.expr("listagg(text, '\n\n') WITHIN GROUP (ORDER BY turn)").alias("text"), F.count(F.lit(1)).alias("pages"))
+
+
+_SPECS = ["all", "", "1", "2-4", "1,3", "3-1", " 2 - 3 ,5", "0", "x", "7,7,6-8", "1-10001"]
+
+
+@query("""SELECT * FROM (VALUES ('all', NULL, NULL, true), ('', NULL, NULL, true), ('1', '1', NULL, true), ('2-4', '2,3,4', NULL, true), ('1,3', '1,3', NULL, true),
+('3-1', NULL, 'INVALID_PAGES', false), (' 2 - 3 ,5', '2,3,5', NULL, false), ('0', NULL, 'INVALID_PAGES', false), ('x', NULL, 'INVALID_PAGES', false),
+('7,7,6-8', '6,7,8', NULL, true), ('1-10001', NULL, 'INVALID_PAGES', true)) t(spec, pages, error, strict)""")
+def page_range_parse(spark, sf_dir):
+    specs = spark.createDataFrame([(s,) for s in _SPECS], "spec string").withColumn("r", X.page_range(F.col("spec")))
+    return specs.select("spec", F.array_join(F.transform("r.pages", lambda p: p.cast("string")), ",").alias("pages"), "r.error", X.strict_page_range(F.col("spec")).alias("strict"))
+
+
+@query(f"WITH {_LINES} SELECT DISTINCT doc_id, pos // 55 + 1 AS page_no FROM laid WHERE pos // 55 + 1 IN (2, 3, 5)")
+def page_range_select(spark, sf_dir):
+    pages = X.paginate(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "page_no").distinct()
+    return pages.where(F.array_contains(X.page_range(F.lit("2-3,5"))["pages"], F.col("page_no").cast("int")))
+
+
+@query(r"SELECT page_id, (NOT regexp_matches(url, '[\s\x00-\x1f\x7f]')) AND regexp_matches(lower(url), '^(#|https?://|mailto:)') AS safe, lower(url) LIKE 'https://%' AS https FROM pages")
+def url_scheme_check(spark, sf_dir):
+    return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", X.safe_link(F.col("url")).alias("safe"), X.is_https(F.col("url")).alias("https"))
+
+
+_HEAD = '<meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="default-src \'none\'; img-src data:; style-src \'unsafe-inline\'">'
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(html, '(?i)^\\s*<!doctype[^>]*>') THEN regexp_replace(html, '(?i)^(\\s*<!doctype[^>]*>)', '\\1" + _HEAD.replace("'", "''") + "') ELSE '<!doctype html>" + _HEAD.replace("'", "''") + "' || html END AS html FROM pages")
+def html_secure_rewrite(spark, sf_dir):
+    html, start = F.col("html"), r"(?i)^(\s*<!doctype[^>]*>)"
+    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.when(html.rlike(start), F.regexp_replace(html, start, "$1" + _HEAD)).otherwise(F.concat(F.lit("<!doctype html>" + _HEAD), html)).alias("html"))
+
+
+@query("SELECT page_id, strlen(html) <= 4194304 AND NOT contains(html, chr(0)) AS accepted FROM pages")
+def html_predicates(spark, sf_dir):
+    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", ((F.octet_length("html") <= 4 << 20) & (F.instr("html", "\x00") == 0)).alias("accepted"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/?#]*)/?([?#].*)?$', 1), '\.[^.]+$', '') || '.pdf' AS name FROM pages")
+def output_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", X.output_name(F.regexp_extract("url", r"([^/?#]*)/?([?#].*)?$", 1), F.lit("pdf")).alias("name"))
+
+
+@query("SELECT doc_id, CASE WHEN rn = 0 THEN source ELSE source || ' (' || rn || ')' END AS reserved FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn FROM documents)")
+def reserve_names(spark, sf_dir):
+    return A.reserve_names(table(spark, sf_dir, "documents", "doc_id", "source"), "source", "doc_id").select("doc_id", "reserved")
+
+
+@query("SELECT user_id, max_by(event_type, {'ts': ts, 'event_id': event_id}) AS event_type FROM events GROUP BY user_id")
+def latest_revision(spark, sf_dir):
+    return A.latest_revision(table(spark, sf_dir, "events", "user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def dangling_refs(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id").join(table(spark, sf_dir, "labels", "doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id, quality, CASE WHEN doc_id % 7 = 0 OR doc_id NOT IN (SELECT doc_id FROM documents) THEN 'UNKNOWN_DOCUMENT' END AS error FROM labels")
+def audit_unknown(spark, sf_dir):
+    manifest = table(spark, sf_dir, "documents", "doc_id").where("doc_id % 7 <> 0")
+    return A.unknown_results(table(spark, sf_dir, "labels", "doc_id", "quality"), manifest, "doc_id")
+
+
+@query("SELECT doc_id, op FROM documents CROSS JOIN (VALUES ('pdf_to_txt'), ('pdf_to_markdown')) o(op) WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND op = CASE WHEN l.quality = 1 THEN 'pdf_to_txt' ELSE 'pdf_to_markdown' END)")
+def audit_missing(spark, sf_dir):
+    ops = spark.createDataFrame([("pdf_to_txt",), ("pdf_to_markdown",)], "op string")
+    seen = table(spark, sf_dir, "labels", "doc_id", "quality").select("doc_id", F.when(F.col("quality") == 1, "pdf_to_txt").otherwise("pdf_to_markdown").alias("op"))
+    return A.missing_results(table(spark, sf_dir, "documents", "doc_id"), ops, seen, ["doc_id", "op"])
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def audit_duplicates(spark, sf_dir):
+    return A.duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", F.sha2("text", 256))
+
+
+@query("SELECT event_type, count(*) AS attempted, count(*) FILTER (state = 'succeeded') AS succeeded, count(*) FILTER (state <> 'succeeded') AS failed, quantile_disc(value, 0.95) AS p95 FROM (SELECT *, CASE WHEN event_id % 10 = 0 THEN 'failed' ELSE 'succeeded' END AS state FROM events) GROUP BY event_type")
+def audit_summary_p95(spark, sf_dir):
+    runs = table(spark, sf_dir, "events", "event_id", "event_type", "value").withColumn("state", F.when(F.col("event_id") % 10 == 0, "failed").otherwise("succeeded"))
+    return A.summary(runs, ["event_type"], "state", "value")
+
+
+@query("SELECT lang, count(*) AS n, count(*) >= 30 AS enough, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
+def audit_coverage(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "lang", "source").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) >= 30).alias("enough"), F.countDistinct("source").alias("sources"))
+
+
+@query("SELECT source, count(DISTINCT sha256(text)) = count(*) AS distinct_evidence FROM documents GROUP BY source")
+def distinct_evidence(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "source", "text").groupBy("source").agg((F.countDistinct(F.sha2("text", 256)) == F.count(F.lit(1))).alias("distinct_evidence"))
+
+
+@query(r"""WITH p AS (SELECT d.doc_id, b.text AS ref, d.text AS act FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+r AS (SELECT doc_id, unnest(string_split(regexp_replace(ref, '\s+', '', 'g'), '')) AS ch FROM p), a AS (SELECT doc_id, unnest(string_split(regexp_replace(act, '\s+', '', 'g'), '')) AS ch FROM p),
+rc AS (SELECT doc_id, ch, count(*) AS r FROM r WHERE ch <> '' GROUP BY ALL), ac AS (SELECT doc_id, ch, count(*) AS a FROM a WHERE ch <> '' GROUP BY ALL)
+SELECT doc_id, CAST(sum(least(r, coalesce(a, 0))) AS BIGINT) AS matched, CAST(sum(r) AS BIGINT) AS expected, CAST(sum(least(r, coalesce(a, 0))) AS DOUBLE) / CAST(sum(r) AS DOUBLE) AS retention FROM rc LEFT JOIN ac USING (doc_id, ch) GROUP BY doc_id""")
+def text_retention(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark", "item_id", F.col("text").alias("ref"))
+    pairs = table(spark, sf_dir, "documents", "doc_id", F.col("text").alias("act")).withColumn("item_id", F.col("doc_id") % 40).join(items, "item_id")
+    return A.text_retention(pairs, "doc_id", "ref", "act")
+
+
+@query("SELECT user_id, max(value) AS peak, count(*) >= 2 AS sampled, date_diff('millisecond', min(ts), max(ts)) AS elapsed_ms FROM events GROUP BY user_id")
+def peak_and_duration(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    return e.groupBy("user_id").agg(F.max("value").alias("peak"), (F.count(F.lit(1)) >= 2).alias("sampled"), F.expr("unix_millis(max(ts)) - unix_millis(min(ts))").alias("elapsed_ms"))
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM events) WHERE last IS NULL OR event_id > last")
+def stale_event_drop(spark, sf_dir):
+    return A.drop_stale(table(spark, sf_dir, "events", "event_id", "user_id", "value"), "user_id", "event_id", ["value", "event_id"]).select("event_id", "user_id")
+
+
+@query("SELECT user_id, min(event_id) FILTER (state IN ('cancelled', 'timed_out') OR state IN ('succeeded', 'failed') AND completed >= 5) AS finished_at FROM (SELECT user_id, event_id, event_id % 7 AS completed, CASE event_id % 5 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'succeeded' WHEN 2 THEN 'failed' ELSE 'running' END AS state FROM events) GROUP BY user_id")
+def terminal_events(spark, sf_dir):
+    m = F.col("event_id") % 5
+    e = table(spark, sf_dir, "events", "user_id", "event_id").select("user_id", "event_id", (F.col("event_id") % 7).alias("completed"), F.when(m == 0, "cancelled").when(m == 1, "succeeded").when(m == 2, "failed").otherwise("running").alias("state"))
+    done = F.col("state").isin("cancelled", "timed_out") | (F.col("state").isin("succeeded", "failed") & (F.col("completed") >= 5))
+    return e.groupBy("user_id").agg(F.min(F.when(done, F.col("event_id"))).alias("finished_at"))
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rn FROM conversations WHERE turn % 5 <> 4) WHERE turn = rn")
+def gap_free_prefix(spark, sf_dir):
+    return A.gap_free_prefix(table(spark, sf_dir, "conversations", "conv_id", "turn").where("turn % 5 <> 4"), "conv_id", "turn")
+
+
+@query("SELECT doc_id, source, CAST(sum(n_chars) OVER w AS BIGINT) AS used, sum(n_chars) OVER w <= 100000 AS within FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
+def running_budget(spark, sf_dir):
+    return A.running_budget(table(spark, sf_dir, "documents", "doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", 100_000).select("doc_id", "source", "used", "within")
+
+
+@query("SELECT lang, string_agg(ch, '' ORDER BY unicode(ch)) AS used FROM (SELECT DISTINCT lang, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY lang")
+def used_code_points(spark, sf_dir):
+    chars = table(spark, sf_dir, "documents", "lang", "text").select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").distinct()
+    return chars.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list("ch")), "").alias("used"))
+
+
+@query("SELECT 'pkg:part/' || p_name AS purl, p_brand AS version, min(CASE WHEN p_size % 2 = 0 THEN 'MIT' ELSE 'UNKNOWN' END) AS license FROM part GROUP BY 1, 2")
+def component_inventory(spark, sf_dir):
+    parts = table(spark, sf_dir, "part", "p_name", "p_brand", "p_size")
+    return A.component_inventory(parts.select(F.concat(F.lit("pkg:part/"), "p_name").alias("purl"), F.col("p_brand").alias("version"), F.when(F.col("p_size") % 2 == 0, "MIT").otherwise("UNKNOWN").alias("license")))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def checksums(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("sha256"))
