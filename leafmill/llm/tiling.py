@@ -135,9 +135,8 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN
     A pair of a document and an item is tiled when they share a seed of ``min_tile``
     words; covered counts the item's words under tiles, in any order, so a reordered
     passage counts as a verbatim one. The items are a query set taken in blocks of at
-    most ``block_bytes`` of text (each block is read by key range and goes to the
-    executors in the task's closure); documents are scanned once a block and never
-    shuffled. Null or empty texts on either side match nothing. Repeated rows of
+    most ``block_bytes`` of text: the driver streams the items, holds one block and
+    broadcasts it; documents are scanned once a block and never shuffled. Null or empty texts on either side match nothing. Repeated rows of
     either side give repeated results. Other columns are ignored.
     """
     spark = docs.sparkSession

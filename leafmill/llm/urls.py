@@ -19,7 +19,7 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 ORDER = 5
-#: A URL is seen through at most this many characters by the models' counts.
+#: Bound of the n-grams that one model keeps, the most frequent first.
 TRAIN_TYPES = 1 << 20
 
 
@@ -40,7 +40,7 @@ def by_rules(host: Column, path: Column, rules: list[tuple[str, str, str]] = RUL
 
 
 def _shape(text: str) -> str:
-    """What the models read: the host and the letters of the path, digits as one symbol."""
+    """What the models read: host and path, digits as one symbol."""
     return "^" + "".join("0" if c.isdigit() else c for c in text)
 
 
