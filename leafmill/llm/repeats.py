@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,16 @@ _WINDOW = LENGTH - ANCHOR + 1
 # ---- suffix arrays -------------------------------------------------------------
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
+def suffix_array(s: np.ndarray, wanted: np.ndarray | None = None, depth: int | None = None) -> np.ndarray:
     """Suffixes of ``s`` (small non-negative ints) in order, by two-stage sorting.
 
     Type-B suffixes are smaller than their successor, type-A ones larger (or the last).
     Only type B is sorted directly; type A is induced: scanning the array upwards,
     the predecessor of each entry, if of type A, goes to the front of its bucket. A
     bucket's type-A suffixes precede its type-B ones.
+
+    With ``wanted`` (a mask), only these suffixes and those they are induced from are
+    sorted; with ``depth``, suffixes that agree in so many symbols may stand in any order.
     """
     n = len(s)
     if not n:
@@ -40,29 +44,41 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     inside = nxt < len(change)
     at = change[nxt[inside]]
     b[np.flatnonzero(inside)] = s[at] < s[at + 1]
-    size = np.bincount(s)
+    need = np.ones(n, bool) if wanted is None else _with_sources(wanted, b)
+    size = np.bincount(s[need])
     head = np.concatenate(([0], np.cumsum(size)))
-    order = np.full(n, -1, np.int64)
-    direct = _sorted_directly(s, np.flatnonzero(b))
+    order = np.full(head[-1], -1, np.int64)
+    direct = _sorted_directly(s, np.flatnonzero(b & need), depth or n)
     per = np.bincount(s[direct], minlength=len(size))
     first_b = head[1:] - per  # type B sits at the end of its bucket
     order[first_b[s[direct]] + np.arange(len(direct)) - np.concatenate(([0], np.cumsum(per)))[s[direct]]] = direct
     fill = head[:-1].copy()
-    order[fill[s[n - 1]]] = n - 1
-    fill[s[n - 1]] += 1
+    if need[n - 1]:
+        order[fill[s[n - 1]]] = n - 1
+        fill[s[n - 1]] += 1
+    induced = need & ~b
     for c in np.flatnonzero(size):
         lo = head[c]
         while lo < fill[c]:  # type A of this bucket, as far as induced; may induce more of it
             hi = fill[c]
-            _induce(order[lo:hi], s, b, order, fill)
+            _induce(order[lo:hi], s, induced, order, fill)
             lo = hi
-        _induce(order[first_b[c] : head[c + 1]], s, b, order, fill)
+        _induce(order[first_b[c] : head[c + 1]], s, induced, order, fill)
     return order
 
 
-def _induce(entries: np.ndarray, s: np.ndarray, b: np.ndarray, order: np.ndarray, fill: np.ndarray) -> None:
+def _with_sources(wanted: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``wanted`` and, after each type-A position of it, all up to the next type-B one."""
+    n = len(b)
+    stop = np.append(np.flatnonzero(b), n - 1)
+    from_a = np.flatnonzero(wanted & ~b)
+    edge = np.bincount(from_a, minlength=n + 1) - np.bincount(stop[np.searchsorted(stop[:-1], from_a)] + 1, minlength=n + 1)
+    return wanted | (np.cumsum(edge)[:n] > 0)
+
+
+def _induce(entries: np.ndarray, s: np.ndarray, induced: np.ndarray, order: np.ndarray, fill: np.ndarray) -> None:
     before = entries[entries > 0] - 1
-    before = before[~b[before]]
+    before = before[induced[before]]
     if not len(before):
         return
     c = s[before]
@@ -73,19 +89,28 @@ def _induce(entries: np.ndarray, s: np.ndarray, b: np.ndarray, order: np.ndarray
     fill[kinds] += count
 
 
-def _sorted_directly(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The given suffixes in order: seven symbols at a time, ties again with the next seven."""
-    n, step = len(s), 7
-    pad = np.concatenate((s + 1, np.zeros(step, np.int64)))
+_STEP = 7  # symbols of at most 9 bits in one word
+
+
+def _words(s: np.ndarray) -> np.ndarray:
+    """The ``_STEP`` symbols from each position on as one number; a last 0 for the end."""
+    n = len(s)
+    pad = np.concatenate((s + 1, np.zeros(_STEP, np.int64)))
     word = np.zeros(n + 1, np.int64)
-    for j in range(step):
-        word[:n] = word[:n] * 512 + pad[j : j + n]
+    for j in range(_STEP):
+        word[:n] = word[:n] << 9 | pad[j : j + n]
+    return word
+
+
+def _sorted_directly(s: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """The given suffixes in order: seven symbols at a time, ties again with the next seven."""
+    n, word = len(s), _words(s)
     rank = np.zeros(len(at), np.int64)
     depth = 0
     live = np.arange(len(at))
-    while len(live):
+    while len(live) and depth < most:
         key = word[np.minimum(at[live] + depth, n)]
-        by = np.lexsort((key, rank[live]))
+        by = np.lexsort((key, rank[live])) if depth else np.argsort(key)
         live = live[by]
         key, r = key[by], rank[live]
         fresh = np.concatenate(([True], (r[1:] != r[:-1]) | (key[1:] != key[:-1])))
@@ -93,161 +118,337 @@ def _sorted_directly(s: np.ndarray, at: np.ndarray) -> np.ndarray:
         base = np.maximum.accumulate(np.where(group, np.arange(len(live)), 0))
         rank[live] = r + np.maximum.accumulate(np.where(fresh, np.arange(len(live)), 0)) - base
         alone = fresh & np.concatenate((fresh[1:], [True]))
-        live, depth = live[~alone], depth + step
+        live, depth = live[~alone], depth + _STEP
     return at[np.argsort(rank, kind="stable")]
 
 
 def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Length (up to ``most``) that each suffix shares with the one before it in order."""
-    n = len(s)
-    out = np.zeros(n, np.int64)
+    n, word = len(s), _words(s.astype(np.int64))
+    out = np.zeros(len(order), np.int64)
     a, b = order[:-1], order[1:]
-    live = np.arange(n - 1)
-    for d in range(most):
-        x, y = a[live] + d, b[live] + d
-        ok = (x < n) & (y < n)
-        ok[ok] = s[x[ok]] == s[y[ok]]
-        live = live[ok]
+    live = np.arange(len(a))
+    for d in range(0, most, _STEP):
+        x, y = word[np.minimum(a[live] + d, n)], word[np.minimum(b[live] + d, n)]
+        for j in range(1, _STEP):
+            out[live + 1] += (x >> 9 * (_STEP - j)) == (y >> 9 * (_STEP - j))
+        same = x == y
+        live = live[same]
+        out[live + 1] += 1
         if not len(live):
             break
-        out[live + 1] = d + 1
-    return out
+    return np.minimum(out, most)
 
 
 # ---- anchors -------------------------------------------------------------------
 
+_PRIME = 0x100000001B3
+#: Bytes of text of a pack (a longer text is a pack of its own), and about as many a bucket stands for.
+PACK, BUCKET = 1 << 21, 1 << 24
+
+
+def _string_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of the ``ANCHOR`` bytes from each position on, put together from powers of two."""
+    part, width, whole, done = data.astype(np.uint64), 1, None, 0
+    while True:
+        if ANCHOR & width:
+            whole = part if whole is None else part[: len(whole) - width] * np.uint64(pow(_PRIME, done, 1 << 64)) + whole[width:]
+            done += width
+        if 2 * width > ANCHOR:
+            return T.mix(whole)
+        part = part[:-width] * np.uint64(pow(_PRIME, width, 1 << 64)) + part[width:]
+        width *= 2
+
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, last window) of a text: every 50-byte window goes to one anchor.
+def anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, first window, last window) of texts: every 50-byte window goes to one anchor.
 
-    The anchor of a window is its 26-byte string of least hash (the leftmost of equals):
-    equal windows have equal anchors wherever they stand. Windows of one anchor
-    occurrence follow one another and make one fragment.
+    The anchor of a window is its 26-byte string of least hash: equal windows have equal
+    anchors wherever they stand. Windows of one anchor that follow one another in
+    a text make one fragment.
     """
     n = len(data) - LENGTH + 1
     if n <= 0:
         e = np.zeros(0, np.int64)
-        return e.view(np.uint64), e, e
-    h = np.zeros(len(data) - ANCHOR + 1, np.uint64)
-    for j in range(ANCHOR):
-        h = h * np.uint64(0x100000001B3) + data[j : j + len(h)]
-    h = T.mix(h)
-    low, width = h, 1  # sliding minimum by doubling
+        return e, e.view(np.uint64), e, e
+    low, width = _string_hashes(data), 1  # sliding minimum by doubling
     while 2 * width <= _WINDOW:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    low = np.minimum(low[: n], low[_WINDOW - width : _WINDOW - width + n])
-    cut = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1, [n]))
-    return low[cut[:-1]], cut[:-1], cut[1:] - 1
-
-
-def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, lo, hi): anchor hashes of a batch with the least and the largest doc_id, a row each."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        offsets, data = T.utf8(batch.column(1))
-        for a, b in T.blocks(offsets, 8 * T.CHUNK):
-            g, own = [], []
-            for i in range(a, b):
-                x = np.unique(anchors(data[offsets[i] : offsets[i + 1]])[0])
-                g.append(x)
-                own.append(np.full(len(x), ids[i]))
-            g, own = np.concatenate(g), np.concatenate(own)
-            by = np.lexsort((own, g))
-            g, own = g[by], own[by]
-            if len(g):
-                first = np.concatenate(([True], g[1:] != g[:-1]))
-                last = np.concatenate((first[1:], [True]))
-                yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(own[first]), pa.array(own[last])], ["g", "lo", "hi"])
-
-
-def _fragment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, doc_id, at, frag): the windows of each listed anchor of a text as one fragment."""
+    low = np.minimum(low[:n], low[_WINDOW - width : _WINDOW - width + n])
+    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    inside = text[:n] == text[LENGTH - 1 :]
+    cut = np.concatenate(([0], np.flatnonzero((low[1:] != low[:-1]) | (text[1:n] != text[: n - 1]) | (inside[1:] != inside[:-1])) + 1, [n]))
+    a, b = cut[:-1], cut[1:] - 1
+    a, b = a[inside[a]], b[inside[a]]
+    return text[a].astype(np.int64), low[a], a, b
+
+
+class _Pack:
+    """Some texts, their anchors and, of these, the distinct hashes by bucket."""
+
+    def __init__(self, ids: bytes, sizes: bytes, data: bytes, buckets: int):
+        self.ids, self.data = np.frombuffer(ids, np.int64), np.frombuffer(data, np.uint8)
+        self.offsets = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, np.int64))))
+        parts = []
+        for i, j in T.blocks(self.offsets, T.CHUNK):
+            base = self.offsets[i]
+            text, g, a, b = anchors(self.offsets[i : j + 1] - base, self.data[base : self.offsets[j]])
+            parts.append((text + i, g, a + base, b + base))
+        text, self.g, self.a, self.b = (np.concatenate(c) for c in zip(*parts, strict=True))
+        self.doc = self.ids[text]
+        self.g = T.mix(self.g ^ np.uint64(_PRIME))  # least hashes are small ones: spread them again
+        bucket = ((self.g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        by = np.argsort(self.g)
+        fresh = np.concatenate(([True], self.g[by][1:] != self.g[by][:-1]))[: len(by)]
+        self.first = np.flatnonzero(fresh)
+        self.keys, self.bucket = self.g[by][self.first], bucket[by][self.first]
+        self.which = np.zeros(len(by), np.int64)
+        self.which[by] = np.cumsum(fresh) - 1
+        if len(by):
+            self.twice = np.minimum.reduceat(self.doc[by], self.first) < np.maximum.reduceat(self.doc[by], self.first)
+        else:
+            self.twice = fresh
+
+    def fragments(self, marks: list[dict]) -> None:
+        """Keep the anchors that ``marks`` (b, mask) call shared; ``frag`` numbers their distinct fragments.
+
+        Fragments are ordered by bucket; ``rep`` is an occurrence of each, ``frag_bucket`` its bucket.
+        """
+        shared = np.zeros(len(self.keys), bool)
+        for m in marks or ():
+            lo, hi = np.searchsorted(self.bucket, (m["b"], m["b"] + 1))
+            shared[lo:hi] = np.unpackbits(np.frombuffer(m["mask"], np.uint8))[: hi - lo]
+        hit = shared[self.which]
+        self.doc, self.a, self.b, self.which = self.doc[hit], self.a[hit], self.b[hit], self.which[hit]
+        self.frag, self.rep = _distinct(self.which, self.a, self.b + LENGTH - self.a, self.data)
+        self.frag_bucket = self.bucket[self.which[self.rep]]
+
+
+def _pieces(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The strings data[at : at + size], one after another."""
+    end = np.cumsum(size)
+    return data[np.repeat(at - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+
+
+def _distinct(key: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each string's class, a string of each class); classes in order of ``key``.
+
+    Strings of one class are equal in key and bytes, compared byte by byte with their
+    neighbour in the order of (key, size, hash).
+    """
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.zeros(len(at), np.uint64)
+    for i, j in T.blocks(np.concatenate(([0], np.cumsum(size))), T.CHUNK):
+        x = _pieces(data, at[i:j], size[i:j]).astype(np.uint64)
+        first = np.cumsum(size[i:j]) - size[i:j]
+        place = np.arange(len(x), dtype=np.uint64) - np.repeat(first, size[i:j]).astype(np.uint64)
+        h[i:j] = np.add.reduceat(T.mix((place << np.uint64(8)) + x), first)
+    by = np.lexsort((h, size, key))
+    same = (key[by][1:] == key[by][:-1]) & (size[by][1:] == size[by][:-1]) & (h[by][1:] == h[by][:-1])
+    x = by[1:][same]
+    y = by[:-1][same]
+    equal = np.ones(len(x), bool)
+    for i, j in T.blocks(np.concatenate(([0], np.cumsum(size[x]))), T.CHUNK):
+        other = _pieces(data, at[x[i:j]], size[x[i:j]]) != _pieces(data, at[y[i:j]], size[x[i:j]])
+        equal[i:j] = np.add.reduceat(other, np.cumsum(size[x[i:j]]) - size[x[i:j]]) == 0
+    same[same] = equal
+    fresh = np.concatenate(([True], ~same))
+    number = np.zeros(len(at), np.int64)
+    number[by] = np.cumsum(fresh) - 1
+    return number, by[fresh]
+
+
+_PACKS = "pack long, ids binary, sizes binary, data binary"
+
+
+def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         offsets, data = T.utf8(batch.column(1))
-        shared = batch.column(2)
-        for i in range(batch.num_rows):
-            wanted = np.sort(shared[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-            text = data[offsets[i] : offsets[i + 1]]
-            g, a, b = anchors(text)
-            if not len(g) or not len(wanted):
-                continue
-            hit = wanted[np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)] == g
-            g, a, b = g[hit], a[hit], b[hit]
-            raw = text.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g.view(np.int64)), pa.array(np.full(len(g), ids[i])), pa.array(a), pa.array([raw[x : y + LENGTH] for x, y in zip(a, b, strict=True)], pa.binary())],
-                ["g", "doc_id", "at", "frag"],
-            )
+        for a, b in T.blocks(offsets, PACK):
+            row = [int.from_bytes(os.urandom(8), "big", signed=True), ids[a:b].astype(np.int64).tobytes(), np.diff(offsets[a : b + 1]).tobytes(), data[offsets[a] : offsets[b]].tobytes()]
+            yield _batch([row], _PACKS)
 
 
-_OWNERS = "g long, frag binary, starts array<int>, owners array<long>"
+_TYPES = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
 
 
-def _owner_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per distinct fragment (g, frag, owner) the least owner of each of its windows.
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(cols, fields, strict=True)], [f for f, _ in fields])
 
-    Rows of one anchor come one after another; some hundred KB of whole anchors make
-    one suffix array, so that a task's memory does not follow an anchor's popularity
-    (an anchor has a row per distinct context, not per document).
-    """
-    held: list[tuple[int, bytes, int]] = []
-    size = 0
+
+def _ranges(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    cut = np.concatenate(([0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]))
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        if a < b:
+            yield int(sorted_keys[a]), int(a), int(b)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of each bucket; a partition's rows come in the order of column 0."""
+    held, bucket = [], None
     for batch in batches:
-        for g, frag, owner in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
-            if size > 1 << 19 and held[-1][0] != g:
-                yield _owners(held)
-                held, size = [], 0
-            held.append((g, frag, owner))
-            size += len(frag)
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != bucket and held:
+                yield bucket, held
+                held = []
+            bucket = row[0]
+            held.append(row)
     if held:
-        yield _owners(held)
+        yield bucket, held
 
 
-def _owners(held: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
-    sizes = np.array([len(f) for _, f, _ in held])
+_KEYS = "b long, pack long, keys binary, twice binary"
+
+
+def _key_batches(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = _Pack(*parts, buckets)
+                yield _batch([(k, pack, p.keys[i:j].tobytes(), np.packbits(p.twice[i:j]).tobytes()) for k, i, j in _ranges(p.bucket)], _KEYS)
+
+    return run
+
+
+_MARKS = "pack long, b long, mask binary"
+
+
+def _mark_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of each pack's anchors of a bucket occur in several packs or in two texts of one."""
+    for bucket, rows in _by_bucket(batches):
+        keys = [np.frombuffer(r[2], np.uint64) for r in rows]
+        twice = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8))[: len(k)] for r, k in zip(rows, keys, strict=True)])
+        _, number, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        shared = times > 1
+        shared[number[twice > 0]] = True
+        masks = np.split(shared[number], np.cumsum([len(k) for k in keys])[:-1])
+        yield _batch([(r[1], bucket, np.packbits(m).tobytes()) for r, m in zip(rows, masks, strict=True)], _MARKS)
+
+
+_FRAGMENTS = "b long, pack long, keys binary, lo binary, hi binary, sizes binary, data binary"
+
+
+def _fragment_batches(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack, *parts, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = _Pack(*parts, buckets)
+                p.fragments(marks)
+                n = len(p.rep)
+                lo, hi = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+                np.minimum.at(lo, p.frag, p.doc)
+                np.maximum.at(hi, p.frag, p.doc)
+                key, at = p.keys[p.which[p.rep]], p.a[p.rep]
+                size = p.b[p.rep] + LENGTH - at
+                for k, i, j in _ranges(p.frag_bucket):
+                    yield _batch([(k, pack, *(x[i:j].tobytes() for x in (key, lo, hi, size)), _pieces(p.data, at[i:j], size[i:j]).tobytes())], _FRAGMENTS)
+
+    return run
+
+
+_VERDICTS = "pack long, b long, frag binary, start binary, stop binary, owner binary"
+
+
+def _owner_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per pack the runs of windows (start to stop of a fragment) that a smaller document owns.
+
+    Equal fragments count once, with their least doc_id; some hundred KB of whole anchors
+    make one suffix array.
+    """
+    for bucket, rows in _by_bucket(batches):
+        keys, lo, hi, size = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in ((2, np.uint64), (3, np.int64), (4, np.int64), (5, np.int64)))
+        data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+        at = np.cumsum(size) - size
+        number, rep = _distinct(keys, at, size, data)
+        owner = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(owner, number, lo)
+        windows = size[rep] - (LENGTH - 1)
+        first = np.concatenate(([0], np.cumsum(windows)))
+        least = np.zeros(first[-1], np.int64)
+        g = keys[rep]
+        ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
+        filled = np.cumsum(size[rep])
+        a = 0
+        while a < len(g):
+            limit = (filled[a - 1] if a else 0) + (1 << 18)
+            b = int(ends[max(np.searchsorted(ends, a, "right"), np.searchsorted(ends, np.searchsorted(filled, limit, "right"), "right") - 1)])
+            least[first[a] : first[b]] = _least_owners(_pieces(data, at[rep[a:b]], size[rep[a:b]]), size[rep[a:b]], owner[a:b])
+            a = b
+        done = 0
+        for row in rows:
+            n = len(row[2]) // 8
+            some = number[done : done + n]
+            count = windows[some]
+            who = _pieces(least, first[some], count)
+            frag = np.repeat(np.arange(n), count)
+            gone = who < np.repeat(hi[done : done + n], count)
+            edge = np.concatenate(([True], (who[1:] != who[:-1]) | (frag[1:] != frag[:-1]), [True]))
+            cut = np.flatnonzero(edge)
+            i, j = cut[:-1][gone[cut[:-1]]], cut[1:][gone[cut[:-1]]]
+            base = (np.cumsum(count) - count)[frag[i]]
+            done += n
+            if len(i):
+                yield _batch([(row[1], bucket, frag[i].astype(np.int32).tobytes(), (i - base).astype(np.int32).tobytes(), (j - base).astype(np.int32).tobytes(), who[i].tobytes())], _VERDICTS)
+
+
+def _least_owners(text: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The least owner of each 50-byte window of the fragments, one fragment after another."""
     first = np.concatenate(([0], np.cumsum(sizes + 1)))
+    which = np.repeat(np.arange(len(sizes)), sizes)
     s = np.zeros(first[-1], np.int64)
-    text = np.frombuffer(b"".join(f for _, f, _ in held), np.uint8)
-    which = np.repeat(np.arange(len(held)), sizes)
     s[np.arange(len(text)) + which] = text.astype(np.int64) + 1  # 0 ends a fragment
-    order = suffix_array(s)
-    shared = common_prefixes(s, order, LENGTH)
-    frag = np.searchsorted(first, order, "right") - 1
-    room = first[frag + 1] - 1 - order  # bytes up to the fragment's end
-    window = room >= LENGTH
-    run = np.cumsum(shared < LENGTH)  # suffixes of one run begin with the same 50 bytes
-    owner = np.array([o for _, _, o in held], np.int64)
-    least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, run[window], owner[frag[window]])
-    at = np.full(len(s), np.iinfo(np.int64).max)
-    at[order[window]] = least[run[window]]
-    starts, owners = [], []
-    for i in range(len(held)):
-        w = at[first[i] : first[i + 1] - LENGTH]
-        cut = np.concatenate(([0], np.flatnonzero(w[1:] != w[:-1]) + 1))
-        starts.append(cut.astype(np.int32))
-        owners.append(w[cut])
-    return pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in held]), pa.array([f for _, f, _ in held], pa.binary()), pa.array(starts, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.int64()))], ["g", "frag", "starts", "owners"])
-
-
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    frag = np.repeat(np.arange(len(sizes)), sizes + 1)
+    window = first[frag + 1] - 1 - np.arange(len(s)) >= LENGTH
+    order = suffix_array(s, window, LENGTH)
+    run = np.cumsum(common_prefixes(s, order, LENGTH) < LENGTH)  # suffixes of one run begin with the same 50 bytes
+    hit = window[order]
+    order, run = order[hit], run[hit]
+    least = np.full(len(s) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, run, owner[frag[order]])
+    at = np.zeros(len(s), np.int64)
+    at[order] = least[run]
+    return at[window]
+
+
+_CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
+def _cut_batches(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, *parts, marks, verdicts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = _Pack(*parts, buckets)
+                p.fragments(marks)
+                edge = np.zeros(len(p.data) + 1, np.int32)
+                by = np.argsort(p.frag, kind="stable")
+                for v in verdicts or ():
+                    frag, start, stop = (np.frombuffer(v[c], np.int32) for c in ("frag", "start", "stop"))
+                    frag = frag + np.searchsorted(p.frag_bucket, v["b"])
+                    lo, hi = np.searchsorted(p.frag, frag, sorter=by), np.searchsorted(p.frag, frag, "right", sorter=by)
+                    n = hi - lo
+                    at = by[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    hit = np.repeat(np.frombuffer(v["owner"], np.int64), n) < p.doc[at]
+                    np.add.at(edge, (p.a[at] + np.repeat(start, n))[hit], 1)
+                    np.add.at(edge, (p.a[at] + np.repeat(stop, n) + (LENGTH - 1))[hit], -1)
+                gone, rows = np.cumsum(edge[:-1]) > 0, []
+                for i, doc in enumerate(p.ids):
+                    x, text = gone[p.offsets[i] : p.offsets[i + 1]], p.data[p.offsets[i] : p.offsets[i + 1]]
+                    kept = text[~x].tobytes()
+                    rows.append((int(doc), len(x), len(text) - len(kept), int(x[:1].sum()) + int((x[1:] > x[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
+                yield _batch(rows, _CUT)
+
+    return run
+
+
+def _kept_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        offsets, data = T.utf8(batch.column(1))
-        rows = []
-        for i, spans in enumerate(batch.column(2).to_pylist()):
-            text = data[offsets[i] : offsets[i + 1]]
-            edge = np.zeros(len(text) + 1, np.int64)
-            for x in spans or ():
-                edge[x["a"]] += 1
-                edge[x["b"]] -= 1
-            gone = np.cumsum(edge)[:-1] > 0
-            runs = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(gone) else 0
-            kept = text[~gone].tobytes()
-            rows.append((len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        texts = [t.encode() for t in batch.column(0).to_pylist()]
+        yield _batch([(None, len(t), 0, 0, hashlib.sha256(t).hexdigest(), t) for t in texts], _CUT)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -256,45 +457,37 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte goes if a 50-byte string covering it also starts in a document of a smaller
     doc_id; strings are judged on the input and never cross documents.
 
-    Plan: (1) every 50-byte window has one anchor, a 26-byte string chosen by content;
-    anchors met in two documents or more are shared (min and max doc_id, combined per
-    block of texts and map-side). (2) Texts with shared anchors give fragments, the runs
-    of windows of one anchor; equal fragments collapse to their smallest doc_id before
-    the shuffle. (3) Tasks sort the suffixes of the distinct fragments of whole anchors
-    (two-stage) and take adjacent common prefixes: suffixes that agree in 50 bytes form
-    a run, whose smallest doc_id owns the string. (4) Each occurrence removes the
-    windows owned by a smaller document.
+    Plan: texts are written in packs of about 2 MB. (1) Every 50-byte window has one
+    anchor, a 26-byte string chosen by content. A pack sends its distinct anchors to hash
+    buckets, one row a bucket; the bucket answers by a bit each, whether others have
+    it. (2) A pack sends the fragments of its shared anchors, the runs of windows of one
+    anchor, equal ones once. (3) A bucket sorts the suffixes of its distinct fragments
+    (two-stage, windows only) and takes adjacent common prefixes: suffixes that agree
+    in 50 bytes form a run, whose smallest doc_id owns the string. It answers with the
+    runs of windows that a smaller document owns. (4) Packs cut these from their texts.
+    The number of buckets grows with the bytes of text, so that a task's memory does not.
 
     Nulls: a null text is empty. A row without doc_id is compared with nothing and
     kept whole. Rows repeating a doc_id are one document: their strings do not remove
     each other, each row yields a row. Empty table: empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "repeats")
+    scratch = Scratch(docs.sparkSession, "repeats")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = rows.where("doc_id is not null")
-    met = known.mapInArrow(_anchor_batches, "g long, lo long, hi long")
-    shared = scratch.save(met.groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("g"), "shared")
-    listed = known.select("doc_id", "text").mapInArrow(_own_anchor_batches, "g long, doc_id long").join(shared, "g", "left_semi")
-    listed = listed.groupBy("doc_id").agg(F.collect_set("g").alias("gs"))
-    frags = scratch.save(known.join(listed, "doc_id").select("doc_id", "text", "gs").mapInArrow(_fragment_batches, "g long, doc_id long, at long, frag binary"), "fragments")
-    distinct = frags.groupBy("g", "frag").agg(F.min("doc_id").alias("owner"))
-    owned = scratch.save(distinct.repartition("g").sortWithinPartitions("g").mapInArrow(_owner_batches, _OWNERS), "owners")
-    spans = frags.join(owned, ["g", "frag"]).select("doc_id", "at", F.octet_length("frag").alias("len"), F.posexplode("owners").alias("i", "owner"), "starts")
-    end = F.when(F.col("i") + 1 < F.size("starts"), F.element_at("starts", F.col("i") + 2)).otherwise(F.col("len") - (LENGTH - 1))
-    spans = spans.where("owner < doc_id").select("doc_id", F.struct((F.col("at") + F.element_at("starts", F.col("i") + 1)).alias("a"), (F.col("at") + end + (LENGTH - 1)).alias("b")).alias("span"))
-    spans = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def _own_anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        offsets, data = T.utf8(batch.column(1))
-        for a, b in T.blocks(offsets, 8 * T.CHUNK):
-            g = [np.unique(anchors(data[offsets[i] : offsets[i + 1]])[0]) for i in range(a, b)]
-            own = np.repeat(ids[a:b], [len(x) for x in g])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).view(np.int64)), pa.array(own)], ["g", "doc_id"])
+    packs = scratch.save(rows.where("doc_id is not null").mapInArrow(_pack_batches, _PACKS), "packs")
+    size = packs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    buckets = max(16, -(-size // BUCKET))
+    keys = packs.mapInArrow(_key_batches(buckets), _KEYS)
+    marks = scratch.save(_dealt(keys, buckets).mapInArrow(_mark_batches, _MARKS).groupBy("pack").agg(F.collect_list(F.struct("b", "mask")).alias("marks")), "marks")
+    marked = packs.join(marks.hint("shuffle_hash"), "pack", "left")
+    fragments = marked.select(*packs.columns, "marks").mapInArrow(_fragment_batches(buckets), _FRAGMENTS)
+    verdicts = _dealt(fragments, buckets).mapInArrow(_owner_batches, _VERDICTS)
+    verdicts = scratch.save(verdicts.groupBy("pack").agg(F.collect_list(F.struct("b", "frag", "start", "stop", "owner")).alias("verdicts")), "verdicts")
+    cut = marked.join(verdicts.hint("shuffle_hash"), "pack", "left").select(*packs.columns, "marks", "verdicts").mapInArrow(_cut_batches(buckets), _CUT)
+    return cut.union(rows.where("doc_id is null").select("text").mapInArrow(_kept_whole, _CUT))
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartition(min(buckets, 4096), "b").sortWithinPartitions("b")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
