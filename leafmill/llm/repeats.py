@@ -144,7 +144,7 @@ def common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
 
 _PRIME = 0x100000001B3
 #: Bytes of text of a pack (a longer text is a pack of its own), and about as many a bucket stands for.
-PACK, BUCKET = 1 << 21, 1 << 24
+PACK, BUCKET = 1 << 22, 1 << 24
 
 
 def _string_hashes(data: np.ndarray) -> np.ndarray:
@@ -197,7 +197,7 @@ class _Pack:
             parts.append((text + i, g, a + base, b + base))
         text, self.g, self.a, self.b = (np.concatenate(c) for c in zip(*parts, strict=True))
         self.doc = self.ids[text]
-        self.g = T.mix(self.g ^ np.uint64(_PRIME))  # least hashes are small ones: spread them again
+        self.g = T.mix(self.g ^ np.uint64(_PRIME)) & ~np.uint64(0xFFFF)  # least hashes are small ones: spread them again
         bucket = ((self.g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         by = np.argsort(self.g)
         fresh = np.concatenate(([True], self.g[by][1:] != self.g[by][:-1]))[: len(by)]
@@ -260,6 +260,16 @@ def _distinct(key: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarra
     return number, by[fresh]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on: zeros and leading bytes compress."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
 _PACKS = "pack long, ids binary, sizes binary, data binary"
 
 
@@ -310,7 +320,7 @@ def _key_batches(buckets: int):
         for batch in batches:
             for pack, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 p = _Pack(*parts, buckets)
-                yield _batch([(k, pack, p.keys[i:j].tobytes(), np.packbits(p.twice[i:j]).tobytes()) for k, i, j in _ranges(p.bucket)], _KEYS)
+                yield _batch([(k, pack, _planes(p.keys[i:j]), np.packbits(p.twice[i:j]).tobytes()) for k, i, j in _ranges(p.bucket)], _KEYS)
 
     return run
 
@@ -321,7 +331,7 @@ _MARKS = "pack long, b long, mask binary"
 def _mark_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Which of each pack's anchors of a bucket occur in several packs or in two texts of one."""
     for bucket, rows in _by_bucket(batches):
-        keys = [np.frombuffer(r[2], np.uint64) for r in rows]
+        keys = [_numbers(r[2], np.uint64) for r in rows]
         twice = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8))[: len(k)] for r, k in zip(rows, keys, strict=True)])
         _, number, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         shared = times > 1
@@ -330,7 +340,7 @@ def _mark_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _batch([(r[1], bucket, np.packbits(m).tobytes()) for r, m in zip(rows, masks, strict=True)], _MARKS)
 
 
-_FRAGMENTS = "b long, pack long, keys binary, lo binary, hi binary, sizes binary, data binary"
+_FRAGMENTS = "b long, pack long, keys binary, lo binary, above binary, sizes binary, data binary"
 
 
 def _fragment_batches(buckets: int):
@@ -346,7 +356,7 @@ def _fragment_batches(buckets: int):
                 key, at = p.keys[p.which[p.rep]], p.a[p.rep]
                 size = p.b[p.rep] + LENGTH - at
                 for k, i, j in _ranges(p.frag_bucket):
-                    yield _batch([(k, pack, *(x[i:j].tobytes() for x in (key, lo, hi, size)), _pieces(p.data, at[i:j], size[i:j]).tobytes())], _FRAGMENTS)
+                    yield _batch([(k, pack, *(_planes(x[i:j]) for x in (key, lo, hi - lo, size)), _pieces(p.data, at[i:j], size[i:j]).tobytes())], _FRAGMENTS)
 
     return run
 
@@ -361,7 +371,8 @@ def _owner_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     make one suffix array.
     """
     for bucket, rows in _by_bucket(batches):
-        keys, lo, hi, size = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in ((2, np.uint64), (3, np.int64), (4, np.int64), (5, np.int64)))
+        keys, lo, hi, size = (np.concatenate([_numbers(r[c], t) for r in rows]) for c, t in ((2, np.uint64), (3, np.int64), (4, np.int64), (5, np.int64)))
+        hi += lo
         data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
         at = np.cumsum(size) - size
         number, rep = _distinct(keys, at, size, data)
@@ -393,7 +404,7 @@ def _owner_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             base = (np.cumsum(count) - count)[frag[i]]
             done += n
             if len(i):
-                yield _batch([(row[1], bucket, frag[i].astype(np.int32).tobytes(), (i - base).astype(np.int32).tobytes(), (j - base).astype(np.int32).tobytes(), who[i].tobytes())], _VERDICTS)
+                yield _batch([(row[1], bucket, *(_planes(x.astype(np.int32)) for x in (frag[i], i - base, j - base)), _planes(who[i]))], _VERDICTS)
 
 
 def _least_owners(text: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -427,12 +438,12 @@ def _cut_batches(buckets: int):
                 edge = np.zeros(len(p.data) + 1, np.int32)
                 by = np.argsort(p.frag, kind="stable")
                 for v in verdicts or ():
-                    frag, start, stop = (np.frombuffer(v[c], np.int32) for c in ("frag", "start", "stop"))
+                    frag, start, stop = (_numbers(v[c], np.int32) for c in ("frag", "start", "stop"))
                     frag = frag + np.searchsorted(p.frag_bucket, v["b"])
                     lo, hi = np.searchsorted(p.frag, frag, sorter=by), np.searchsorted(p.frag, frag, "right", sorter=by)
                     n = hi - lo
                     at = by[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                    hit = np.repeat(np.frombuffer(v["owner"], np.int64), n) < p.doc[at]
+                    hit = np.repeat(_numbers(v["owner"], np.int64), n) < p.doc[at]
                     np.add.at(edge, (p.a[at] + np.repeat(start, n))[hit], 1)
                     np.add.at(edge, (p.a[at] + np.repeat(stop, n) + (LENGTH - 1))[hit], -1)
                 gone, rows = np.cumsum(edge[:-1]) > 0, []
@@ -457,7 +468,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte goes if a 50-byte string covering it also starts in a document of a smaller
     doc_id; strings are judged on the input and never cross documents.
 
-    Plan: texts are written in packs of about 2 MB. (1) Every 50-byte window has one
+    Plan: texts are written in packs of about 4 MB. (1) Every 50-byte window has one
     anchor, a 26-byte string chosen by content. A pack sends its distinct anchors to hash
     buckets, one row a bucket; the bucket answers by a bit each, whether others have
     it. (2) A pack sends the fragments of its shared anchors, the runs of windows of one
@@ -487,7 +498,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.repartition(min(buckets, 4096), "b").sortWithinPartitions("b")
+    """Buckets one after another, in even partitions: a hash would put several into one."""
+    parts = min(buckets, 4096)
+    return rows.repartitionById(parts, F.pmod("b", F.lit(parts)).cast("int")).sortWithinPartitions("b")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
