@@ -70,6 +70,7 @@ _SKETCHES = "doc_id long, n long, set_a long, set_b long, bands array<long>, cod
 _AGREE = 66
 #: Buckets of more members are compared in cells of two blocks of about _BLOCK members.
 _SMALL, _BLOCK = 16, 256
+_FILTER_BITS = 26
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.save(keyed.join(shared, "key"), "members")
     facts = scratch.save(sets.select("rep", "n", F.lit(0).cast("long").alias("u"), "code").join(members.select("rep").distinct(), "rep", "left_semi"), "facts")
     # Only texts in some bucket of two take part from here on.
-    texts = scratch.save(rows.hint("merge").join(facts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    ids = facts.select(F.col("rep").alias("doc_id"))
+    texts = scratch.save(_perhaps_in(rows, ids).join(ids, "doc_id", "left_semi"), "texts")
     stars = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     links = _linked(stars, facts, texts, scratch)
     parts = scratch.save(components(links, scratch), "components")
@@ -237,6 +239,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _perhaps_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose doc_id is not in ``ids``; none that is in ``ids`` goes.
+
+    One bit for each hash of an id, in bitmaps of 4 KiB: 2 ** _FILTER_BITS bits or 8 MiB at
+    most, however many ids there are. So texts that no bucket needs are not shuffled. With
+    very many ids all bits are set and all rows stay; the exact join after it decides.
+    """
+    bit = F.xxhash64("doc_id").bitwiseAND((1 << _FILTER_BITS) - 1)
+    maps = ids.select(F.shiftright(bit, 15).alias("_at"), bit.bitwiseAND(32767).alias("_bit")).groupBy("_at").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    placed = rows.where("doc_id is not null").withColumn("_at", F.shiftright(bit, 15)).join(F.broadcast(maps), "_at")
+    byte = F.conv(F.hex(F.substring("_map", (F.shiftright(bit.bitwiseAND(32767), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return placed.where(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
+
+
 def _side(facts: DataFrame, x: str) -> DataFrame:
     return facts.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("u").alias(f"u{x}"), F.col("code").alias(f"c{x}"))
 

@@ -207,3 +207,13 @@ def test_against_sql(spark, query, sql, tables):
     got, want = query(spark, "/root/testdata/sf0.001").toPandas(), c.sql(sql).df()
     cols = sorted(got.columns)
     assert sorted(map(str, got[cols].values.tolist())) == sorted(map(str, want[cols].values.tolist()))
+
+
+def test_id_filter_keeps_every_wanted_row(spark):
+    from leafmill.llm.minhash import _perhaps_in
+
+    rows = spark.createDataFrame([(i, str(i)) for i in range(5000)] + [(None, "x")], "doc_id long, text string")
+    wanted = spark.range(0, 5000, 7).select(F.col("id").alias("doc_id"))
+    got = {r.doc_id for r in _perhaps_in(rows, wanted).collect()}
+    assert set(range(0, 5000, 7)) <= got and len(got) < 800
+    assert _perhaps_in(rows, wanted.limit(0)).isEmpty()
