@@ -211,8 +211,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.save(keyed.join(shared, "key"), "members")
     facts = scratch.save(sets.select("rep", "n", F.lit(0).cast("long").alias("u"), "code").join(members.select("rep").distinct(), "rep", "left_semi"), "facts")
     # Only texts in some bucket of two take part from here on.
-    ids = facts.select(F.col("rep").alias("doc_id"))
-    texts = scratch.save(_perhaps_in(rows, ids).join(ids, "doc_id", "left_semi"), "texts")
+    # An inner join: Spark would push a semi-join below the filter, to where all texts are shuffled.
+    ids = facts.select(F.col("rep").alias("doc_id")).distinct()
+    texts = scratch.save(_perhaps_in(rows, ids).join(ids, "doc_id"), "texts")
     stars = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     links = _linked(stars, facts, texts, scratch)
     parts = scratch.save(components(links, scratch), "components")
