@@ -35,7 +35,8 @@ PATTERNS = [
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("name", r"(?:(?<=Mr\. )|(?<=Ms\. )|(?<=Mrs\. )|(?<=Dr\. ))(?:" + "|".join(_NAME_LIST) + r")\b"),
 ]
-_TRIGGER = re.compile(r"@|[0-9]{3}|[0-9]\.[0-9]|[0-9a-fA-F]{32}|[Mrs]r?s?\. ")
+#: Skips whole texts; must be found in every string that a pattern matches.
+_TRIGGER = re.compile(r"@|\+[0-9]|[0-9]{3}|[0-9]\.[0-9]|[0-9a-fA-F]{32}|[Mrs]r?s?\. ")
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 
 
