@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Scratch
+
 #: (verdict, host, path prefix)
 RULES = [
     ("block", "com", "/en/"),
@@ -19,8 +21,10 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 ORDER = 5
-#: Bound of the n-grams that one model keeps, the most frequent first.
-TRAIN_TYPES = 1 << 20
+#: Up to so many n-grams both models are broadcast whole; beyond, they stay a table that scores by joins.
+BROADCAST_TYPES = 1 << 20
+#: Rows of a bucket, whose windows meet its URLs in one task, as a power of two.
+BUCKET_BITS = 12
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -79,6 +83,98 @@ class Ratio:
         x = _shape(text)
         return (self.accepted.log_likelihood(x) - self.rejected.log_likelihood(x)) / max(1, len(x) - 1)
 
+    def add_scores(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with body) and score, by the broadcast models."""
+        shared = rows.sparkSession.sparkContext.broadcast(self)
+        at = rows.columns.index("body")
+
+        def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ratio = shared.value
+            known: dict[str, float] = {}
+            for batch in source:
+                scores = []
+                for body in batch.column(at).to_pylist():
+                    key = _shape(body)
+                    if key not in known:
+                        if len(known) > 50_000:
+                            known.clear()
+                        known[key] = ratio.score(body)
+                    scores.append(known[key])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+
+        return rows.mapInArrow(batches, _with(rows, "score double"))
+
+
+class FarRatio:
+    """The same ratio over a table of all n-grams, of any size: no part of it reaches the driver.
+
+    A symbol's probability depends on the window of ``order`` symbols that it ends, so each
+    distinct window is scored once. Probabilities grow from the shortest suffix by one join a
+    symbol, where an n-gram meets as many rows as there are symbols before it. A window goes
+    to a bucket of URLs once, however many of them hold it.
+    """
+
+    def __init__(self, grams: DataFrame, scratch: Scratch, order: int = ORDER, alphabet: int = 128):
+        self.scratch, self.order, self.alphabet, self.threshold = scratch, order, alphabet, 0.0
+        of = lambda v, x: F.sum(F.when(F.col("verdict") == v, x).otherwise(0))
+        self.grams = scratch.save(grams.groupBy("gram").agg(of("allow", F.col("n")).alias("an"), of("block", F.col("n")).alias("bn")), "grams")
+        context = F.expr("substring(gram, 1, char_length(gram) - 1)")
+        self.contexts = scratch.save(
+            grams.groupBy(context.alias("context")).agg(*[of(v, x).alias(v[0] + name) for v in ("allow", "block") for name, x in (("total", F.col("n")), ("kinds", F.lit(1)))]), "contexts"
+        )
+
+    def _probabilities(self, windows: DataFrame) -> DataFrame:
+        """(gram, pa, pb) of each distinct window, by both models."""
+        suffixes = F.expr("transform(sequence(1, char_length(window)), k -> substring(window, k))")
+        grams = self.scratch.save(windows.select(F.explode(suffixes).alias("gram")).distinct(), "needed")
+        done = None
+        for size in range(1, self.order + 1):
+            here = grams.where(F.char_length("gram") == size).withColumns({"context": F.expr("substring(gram, 1, char_length(gram) - 1)"), "shorter": F.expr("substring(gram, 2)")})
+            if done is None:
+                here = here.withColumns({"pa": F.lit(1 / self.alphabet), "pb": F.lit(1 / self.alphabet)})
+            else:
+                here = here.join(done.withColumnRenamed("gram", "shorter"), "shorter")
+            here = here.join(self.grams, "gram", "left").join(self.contexts, "context", "left")
+            new = [
+                F.when(F.coalesce(F.col(f"{v}total"), F.lit(0)) > 0, (F.coalesce(F.col(f"{v}n"), F.lit(0)) + F.col(f"{v}kinds") * F.col(f"p{v}")) / (F.col(f"{v}total") + F.col(f"{v}kinds"))).otherwise(F.col(f"p{v}")).alias(f"p{v}")
+                for v in "ab"
+            ]
+            done = self.scratch.save(here.select("gram", *new), f"p{size}")
+            found = done if size == 1 else found.unionByName(done)
+        return found
+
+    def add_scores(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with body) and score."""
+        order, bits = self.order, BUCKET_BITS
+        rows = self.scratch.save(rows.withColumn("bucket", F.shiftright(F.monotonically_increasing_id(), bits)), "bodies")
+
+        def windows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in source:
+                found = set()
+                for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    x = _shape(body)
+                    found.update((bucket, x[max(0, i - order + 1) : i + 1]) for i in range(1, len(x)))
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.string())], ["bucket", "window"])
+
+        seen = self.scratch.save(rows.select("bucket", "body").mapInArrow(windows, "bucket long, window string").distinct(), "windows")
+        met = seen.join(self._probabilities(seen.select("window")).withColumnRenamed("gram", "window"), "window").select("bucket", "window", "pa", "pb")
+        names = [c for c in rows.columns if c != "bucket"]
+
+        def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+            logs = {w: (math.log(a), math.log(b)) for w, a, b in zip(*(right.column(c).to_pylist() for c in ("window", "pa", "pb")), strict=True)}
+            scores = []
+            for body in left.column("body").to_pylist():
+                x = _shape(body)
+                hits = [logs[x[max(0, i - order + 1) : i + 1]] for i in range(1, len(x))]
+                scores.append((sum(h[0] for h in hits) - sum(h[1] for h in hits)) / max(1, len(x) - 1))
+            return left.select(names).append_column("score", pa.array(scores, pa.float64()))
+
+        return rows.groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(scored, _with(rows.select(*names), "score double"))
+
+
+def _with(rows: DataFrame, extra: str) -> str:
+    return ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), extra])
+
 
 def _counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """(verdict, gram, n): all n-grams up to the order, over all rows, with map-side counts."""
@@ -97,31 +193,27 @@ def _counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.mapInArrow(batches, "verdict string, gram string, n long").groupBy("verdict", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(judged: DataFrame, types: int = TRAIN_TYPES) -> Ratio:
+def train(judged: DataFrame, types: int = BROADCAST_TYPES) -> Ratio | FarRatio:
     """Models of the URLs that rules accept and reject, and their calibrated threshold.
 
     ``judged`` has verdict and body (host and path). n-grams are counted over all rows
-    but one in five (by hash); the driver takes the ``types`` most frequent of each
-    verdict at most (ties by text), a documented bound. The rows left out set the
+    but one in five (by hash), and all are used: up to ``types`` of both verdicts together
+    reach the driver and are broadcast, more stay a written table. The rows left out set the
     threshold: of the observed score bounds the one with the highest mean of both
     accuracies, found on a histogram of scores, so that no row reaches the driver.
     """
-    spark = judged.sparkSession
+    scratch = Scratch(judged.sparkSession, "urls")
     held = F.pmod(F.xxhash64("body"), F.lit(5)) == 0
-    grams = _counts(judged.where(~held))
-    models = {}
-    for verdict in ("allow", "block"):
-        top = grams.where(F.col("verdict") == verdict).orderBy(F.desc("n"), "gram").limit(types)
-        models[verdict] = Markov({r.gram: r.n for r in top.toLocalIterator()})
-    ratio = Ratio(models["allow"], models["block"])
-    shared = spark.sparkContext.broadcast(ratio)
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            step = [int(max(-400, min(400, round(shared.value.score(t) * 100)))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(step, pa.int32())], ["verdict", "step"])
-
-    seen = judged.where(held).mapInArrow(batches, "verdict string, step int").groupBy("step", "verdict").count().collect()  # at most 2 x 801 rows
+    grams = scratch.save(_counts(judged.where(~held)), "counts")
+    if grams.count() <= types:
+        models = {"allow": {}, "block": {}}
+        for r in grams.toLocalIterator():
+            models[r.verdict][r.gram] = r.n
+        ratio = Ratio(Markov(models["allow"]), Markov(models["block"]))
+    else:
+        ratio = FarRatio(grams, scratch)
+    step = F.greatest(F.lit(-400), F.least(F.lit(400), F.bround(F.col("score") * 100).cast("int"))).alias("step")
+    seen = ratio.add_scores(judged.where(held)).groupBy(step, "verdict").count().collect()  # at most 2 x 801 rows
     both = {v: {r.step: r["count"] for r in seen if r.verdict == v} for v in ("allow", "block")}
     sums = {v: sum(x.values()) for v, x in both.items()}
     if all(sums.values()):
@@ -132,7 +224,7 @@ def train(judged: DataFrame, types: int = TRAIN_TYPES) -> Ratio:
     return ratio
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, types: int = BROADCAST_TYPES) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, score.
 
     The longest rule that fits a host (or its subdomains) and path decides; other URLs are
@@ -146,24 +238,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     ruled = parts.withColumns({"rule": rule, "ruled": verdict, "body": F.concat("host", "path")})
-    shared = pages.sparkSession.sparkContext.broadcast(train(ruled.where("rule is not null").select(F.col("ruled").alias("verdict"), "body")))
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = shared.value
-        known: dict[str, float] = {}
-        for batch in source:
-            scores = []
-            for body in batch.column(5).to_pylist():
-                key = _shape(body)
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = ratio.score(body)
-                scores.append(known[key])
-            verdict = [r or ("allow" if s >= ratio.threshold else "block") for r, s in zip(batch.column(4).to_pylist(), scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(scores, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
-
-    return ruled.select("page_id", "host", "path", "rule", "ruled", "body").mapInArrow(batches, "page_id long, host string, path string, rule string, verdict string, score double")
+    ratio = train(ruled.where("rule is not null").select(F.col("ruled").alias("verdict"), "body"), types)
+    scored = ratio.add_scores(ruled.select("page_id", "host", "path", "rule", "ruled", "body"))
+    judged = F.coalesce("ruled", F.when(F.col("score") >= ratio.threshold, "allow").otherwise("block")).alias("verdict")
+    return scored.select("page_id", "host", "path", "rule", judged, "score")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
