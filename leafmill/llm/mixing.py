@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import Scratch
 
-#: Steps of the projected gradient, and the relative miss of the targets that ends it.
-STEPS, TOLERANCE = 8, 1e-3
+#: Guard against a solver that does not end, and the miss, relative to a domain's own goal, that ends it.
+STEPS, TOLERANCE = 200, 1e-3
+#: Up to so many domains sums are columns of one row; beyond, rows of a grouped table.
+WIDE = 64
 
 
 def _features(docs: DataFrame) -> DataFrame:
@@ -52,23 +56,55 @@ def _posteriors(cells: DataFrame, labelled: DataFrame, domains: list[str]) -> Da
     return out.withColumn("raw", raw).withColumn("p", F.transform("raw", lambda x: x / F.aggregate("raw", F.lit(0.0), lambda a, b: a + b))).drop("logs", "raw")
 
 
-def _dot(p: Column, weights: list[float]) -> Column:
-    out = F.lit(0.0)
-    for i, w in enumerate(weights):
-        out = out + p[i] * F.lit(float(w))
-    return out
+def _weighted(cells: DataFrame, weights: list[float]) -> DataFrame:
+    """``cells`` with t: 1 + p * weights.
 
+    The weights come as a row, not as literals, so that each step reuses the compiled code.
+    """
+    one = cells.sparkSession.createDataFrame(pa.table({"w": pa.array([[float(w) for w in weights]], pa.list_(pa.float64()))}))
+    met = cells.crossJoin(F.broadcast(one))
+    if len(weights) > WIDE:
+        dot = F.aggregate(F.zip_with("p", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    else:
+        dot = sum((F.col("p")[i] * F.col("w")[i] for i in range(len(weights))), F.lit(0.0))
+    return met.withColumn("t", F.lit(1.0) + dot).drop("w")
+
+
+def _rate(least: float) -> Column:
+    return F.greatest(F.lit(float(least)), F.col("t"))
+
+
+def _sums(cells: DataFrame, value: Column, k: int) -> np.ndarray:
+    """Sum of value * p of each domain."""
+    if k > WIDE:
+        out = np.zeros(k)
+        for r in cells.select(F.posexplode(F.transform("p", lambda x: x * value)).alias("d", "x")).groupBy("d").agg(F.sum("x").alias("x")).collect():  # a row per domain
+            out[r.d] = r.x or 0.0
+        return out
+    row = cells.select(value.alias("m"), "p").agg(*[F.sum(F.col("m") * F.col("p")[i]) for i in range(k)]).first()
+    return np.array([float(x or 0) for x in row])
+
+
+_REPORT = "domain string, tokens double, goal double, reached double, miss double, optimal boolean"
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total_tokens: float | None = None, steps: int = STEPS, least_rate: float = 0.0) -> DataFrame:
-    """One row per input row: doc_id, tokens, domain (the likeliest), rate, copies.
+
+def mix(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The rows of ``mix_and_misses``."""
+    return mix_and_misses(docs, labels, **settings)[0]
+
+
+def mix_and_misses(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total_tokens: float | None = None, steps: int = STEPS, least_rate: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """One row per input row: doc_id, tokens, domain (the likeliest), rate, copies; and the misses left.
+
+    The second table has a row per domain: tokens before, goal, reached, miss (relative to
+    the goal; null for a goal of 0) and whether the rates are optimal.
 
     ``labels`` is the labelled table: doc_id, domain. A naive-Bayes classifier fitted on
     the labelled documents gives every document a posterior over the domains, so that
     one without label, or of an unknown source, belongs to several in part. Rates r
     >= 0 minimise the squared misses of sum(r * tokens * p[domain]) from target share x
-    total tokens, by projected gradient from r = 1. Documents of equal features share
-    posterior and rate, so a step is one aggregation over the table of feature cells
-    and returns two numbers per domain. ``targets`` defaults to the predicted totals to
+    total tokens, and of these rates the nearest to 1. Documents of equal features share
+    posterior and rate, so a step is a few aggregations over the table of feature cells. ``targets`` defaults to the predicted totals to
     the power 0.7; ``total_tokens`` to the least total at which no domain has to shrink;
     ``least_rate`` raises the bound of 0, with 1 no document is lost. copies is the
     rate rounded up or down with its fraction as the probability, by a hash of the id.
@@ -84,68 +120,92 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     labelled = scratch.save(rows.join(marks, "doc_id").groupBy(*_CELL, "domain").agg(F.count(F.lit(1)).alias("n")), "labelled")
     domains = sorted(r.domain for r in labelled.select("domain").distinct().collect())  # a row per domain
     if not domains:
-        return rows.select("doc_id", "tokens", F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
+        return rows.select("doc_id", "tokens", F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies")), spark.createDataFrame([], _REPORT)
     cells = rows.groupBy(*_CELL).agg(F.sum("tokens").cast("double").alias("mass"))
     cells = scratch.save(_posteriors(cells, labelled, domains), "cells")
 
-    def totals(rate: Column) -> list[float]:
-        row = cells.select((rate * F.col("mass")).alias("m"), "p").agg(*[F.sum(F.col("m") * F.col("p")[i]) for i in range(len(domains))]).first()
-        return [float(x or 0) for x in row]
-
-    start = totals(F.lit(1.0))
+    start = [float(x) for x in _sums(cells, F.col("mass"), len(domains))]
     shares = targets or {d: t**0.7 for d, t in zip(domains, start, strict=True)}
     share = [max(0.0, shares.get(d, 0.0)) for d in domains]
     share = [s / (sum(share) or 1.0) for s in share]
     budget = total_tokens or max((t / s for t, s in zip(start, share, strict=True) if s > 0), default=0.0)
     goal = [budget * s for s in share]
-    rates = _fit(cells, domains, goal, steps, least_rate)
-    weights = F.lit(1.0)
-    for w in rates:
-        weights = F.greatest(F.lit(float(least_rate)), weights + _dot(F.col("p"), w))
-    solved = scratch.save(cells.select(*_CELL, weights.alias("rate"), F.element_at(F.array(*map(F.lit, domains)), F.array_position("p", F.array_max("p")).cast("int")).alias("domain")), "rates")
+    weights, reached, optimal = _fit(cells, goal, steps, least_rate)
+    report = spark.createDataFrame([(d, t, g, n, (g - n) / g if g > 0 else None, optimal) for d, t, g, n in zip(domains, start, goal, map(float, reached), strict=True)], _REPORT)
+    name = F.element_at(F.array(*map(F.lit, domains)), F.array_position("p", F.array_max("p")).cast("int"))
+    solved = scratch.save(_weighted(cells, weights).select(*_CELL, _rate(least_rate).alias("rate"), name.alias("domain")), "rates")
     whole = F.floor("rate")
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     extra = F.when(F.col("doc_id").isNull(), (F.col("rate") - whole >= 0.5).cast("int")).otherwise((chance < F.col("rate") - whole).cast("int"))
-    return rows.join(solved, _CELL).select("doc_id", "tokens", "domain", "rate", (whole + extra).cast("long").alias("copies"))
+    return rows.join(solved, _CELL).select("doc_id", "tokens", "domain", "rate", (whole + extra).cast("long").alias("copies")), report
 
 
-def _fit(cells: DataFrame, domains: list[str], goal: list[float], steps: int, least: float) -> list[list[float]]:
-    """The gradient steps taken: each adds sum(p * step) to a rate, cut off at ``least``.
+def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple[list[float], list[float], bool]:
+    """(weights, reached totals, whether they are optimal); a rate is max(least, 1 + p * weights).
 
-    Per mass, a rate's gradient is p times the domains' misses. A domain's part of the
-    step is scaled by its mass over the rates not cut off: as posteriors sum to 1, that
-    bounds the rows of the domains' Gram matrix, and the step cannot overshoot. A step
-    that would not lower the squared miss is halved.
+    Of the rates that minimise the squared misses this finds those nearest to 1: they
+    have that form, with weights proportional to the misses for a penalty that goes to 0.
+    The weights minimise a convex function that is quadratic between the rates' cuts, by
+    Newton steps halved until it falls enough. It ends when every domain is within
+    TOLERANCE of its own goal, or when the gradient is gone at the last penalty, which is
+    projected-gradient optimality: the goals left are out of reach.
     """
-    k = len(domains)
-    taken: list[list[float]] = []
-
-    def measure(rate: Column) -> tuple[list[float], list[float]]:
-        mass, p = F.col("mass"), F.col("p")
-        live = F.when(F.col("r") > least, mass).otherwise(F.lit(0.0))
-        row = cells.select(rate.alias("r"), "mass", "p").select(F.col("r") * mass, live, "p").toDF("m", "live", "p").agg(*[F.sum(F.col("m") * p[i]) for i in range(k)], *[F.sum(F.col("live") * p[i]) for i in range(k)]).first()
-        flat = [float(x or 0) for x in row]
-        return flat[:k], flat[k:]
-
-    def missed(now: list[float]) -> float:
-        return sum((g - n) ** 2 for g, n in zip(goal, now, strict=True))
-
-    rate = F.lit(1.0)
-    now, _ = measure(rate)
-    scale = list(now)
-    while len(taken) < steps and max(abs(g - n) for g, n in zip(goal, now, strict=True)) > TOLERANCE * max(sum(goal), 1.0):
-        step = [(g - n) / s if s > 0 else 0.0 for g, n, s in zip(goal, now, scale, strict=True)]
-        for _ in range(4):
-            tried = F.greatest(F.lit(least), rate + _dot(F.col("p"), step))
-            after, live = measure(tried)
-            if missed(after) < 0.999 * missed(now):
+    k, g = len(goal), np.array(goal, float)
+    mass = F.col("mass")
+
+    def measure(w: np.ndarray) -> tuple[float, np.ndarray]:
+        cost = F.when(F.col("t") > least, F.col("t") * F.col("t") / 2).otherwise(least * F.col("t") - least * least / 2.0)
+        at = _weighted(cells, w)
+        # the cost rides along as one more entry
+        all_sums = _sums(at.select(F.lit(1.0).alias("one"), F.concat(F.transform("p", lambda x: x * mass * _rate(least)), F.array(mass * cost)).alias("p")), F.col("one"), k + 1)
+        return float(all_sums[k]), all_sums[:k]
+
+    def bend(w: np.ndarray) -> np.ndarray:
+        at = _weighted(cells, w)
+        live = F.when(F.col("t") > least, mass).otherwise(F.lit(0.0))
+        out = np.zeros((k, k))
+        if k > WIDE:
+            parts = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] > 0)
+            some = at.select(live.alias("m"), parts.alias("q")).where("m > 0").select("m", "q", F.explode("q").alias("a")).select("m", "a", F.explode("q").alias("b")).where("a.i <= b.i")
+            met = some.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("m") * F.col("a.x") * F.col("b.x")).alias("x")).toArrow()  # a row per pair of domains
+            i, j, x = (met.column(c).to_numpy() for c in "ijx")
+            out[i, j] = out[j, i] = x
+            return out
+        pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+        row = at.select(live.alias("m"), "p").agg(*[F.sum(F.col("m") * F.col("p")[i] * F.col("p")[j]) for i, j in pairs]).first()
+        for (i, j), x in zip(pairs, row, strict=True):
+            out[i, j] = out[j, i] = float(x or 0)
+        return out
+
+    w = np.zeros(k)
+    cost, now = measure(w)
+    start = now
+    unit = max(float(start.mean()), 1e-300)
+    close = lambda n: bool((np.abs(g - n) <= TOLERANCE * np.where(g > 0, g, start)).all())
+    taken = 0
+    for penalty in (1e-3, 1e-6, 1e-9):
+        while not close(now):
+            slope = now - g + penalty * unit * w
+            if np.abs(slope).max() <= 1e-6 * np.where(g > 0, g, unit).min():
+                break
+            if taken >= steps:
+                return list(w), list(now), False
+            taken += 1
+            step = np.linalg.solve(bend(w) + penalty * unit * np.eye(k), -slope)
+            value = cost - g @ w + penalty * unit * (w @ w) / 2
+            size = 1.0
+            while True:
+                tried = w + size * step
+                after, then = measure(tried)
+                if after - g @ tried + penalty * unit * (tried @ tried) / 2 <= value + 1e-4 * size * (slope @ step):
+                    break
+                size /= 2
+                if size < 1e-6:
+                    break
+            if size < 1e-6:  # as near as the sums' rounding allows
                 break
-            step = [x / 2 for x in step]
-        else:
-            break
-        taken.append(step)
-        rate, now, scale = tried, after, [max(x, 0.1 * y) for x, y in zip(live, scale, strict=True)]
-    return taken
+            w, cost, now = tried, after, then
+    return list(w), list(now), True
 
 
 def mixed_corpus(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
