@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -13,47 +14,82 @@ from .store import Scratch
 
 #: Guard against a solver that does not end, and the miss, relative to a domain's own goal, that ends it.
 STEPS, TOLERANCE = 200, 1e-3
+#: Hash values of words, the smoothing of their counts, and the factors tried on the log-odds.
+WORD_BUCKETS, SMOOTH = 1 << 12, 0.1
+SCALES = [2.0**-i for i in range(11)]
 #: Up to so many domains sums are columns of one row; beyond, rows of a grouped table.
 WIDE = 64
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """doc_id, tokens and the categorical cell of each row: source, language, length, word length, variety.
+    """doc_id, tokens, the categorical features of each row (language, length, word length) and its hashed words.
 
-    Tokens are runs of non-space ASCII; counted over the whole text.
+    Tokens are runs of non-space ASCII; all are counted and hashed. The source is no feature.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
     size = F.octet_length(text)
-    known = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in ("source", "lang")}
-    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), known["source"].alias("f_source"), known["lang"].alias("f_lang"), words.cast("long").alias("tokens"), size.alias("size"))
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("f_lang"), words.cast("long").alias("tokens"), size.alias("size"), F.split(F.lower(text), r"[\x20\x09-\x0D]+").alias("words"))
     return row.select(
-        "doc_id", "tokens", "f_source", "f_lang",
+        "doc_id", "tokens", "f_lang",
         F.floor(F.log2(F.col("tokens") + 1)).cast("int").alias("f_length"),
         F.least(F.floor(2 * F.col("size") / F.greatest("tokens", F.lit(1))), F.lit(40)).cast("int").alias("f_word"),
+        "words",
     )
 
 
-_CELL = ["f_source", "f_lang", "f_length", "f_word"]
+_CELL = ["f_lang", "f_length", "f_word"]
 
 
-def _posteriors(cells: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """``cells`` with p: the posterior of each domain, by naive Bayes on the cell's features.
+def _model(train: DataFrame, domains: list[str]) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """A function that gives rows (with columns to keep) their log-odds below the likeliest domain."""
+    k = range(len(domains))
+    total = {r.domain: r.n for r in train.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per domain
+    every = sum(total.values())
 
-    ``labelled`` has the feature columns, domain and n (rows). Counts per feature value are
-    Laplace-smoothed; the tables joined are bounded by the features' values.
+    def spread(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)])
+
+    tables = {f: spread(train, f).select(f, F.array(*[F.log((F.col(f"n{i}") + 1.0) / F.lit(total.get(d, 0) + 20.0)) for i, d in enumerate(domains)]).alias("w")) for f in _CELL}
+    counted = spread(train.select("domain", F.explode("words").alias("word")).where("word is not null"), "word")
+    sums = counted.agg(*[F.sum(f"n{i}") for i in k]).first()
+    smooth = [math.log(SMOOTH / ((n or 0) + SMOOTH * WORD_BUCKETS)) for n in sums]
+    by_word = counted.select("word", F.array(*[F.log((F.col(f"n{i}") + SMOOTH) / F.lit(float((sums[i] or 0) + SMOOTH * WORD_BUCKETS))) for i in k]).alias("w"))
+
+    def scored(rows: DataFrame, keep: list[str]) -> DataFrame:
+        keys = ["row", *keep, *_CELL]
+        one = rows.withColumn("row", F.monotonically_increasing_id()).select(*keys, F.explode_outer("words").alias("word")).join(F.broadcast(by_word), "word", "left")
+        none = [F.when(F.col("word").isNull(), 0.0).otherwise(x) for x in smooth]
+        out = one.groupBy(*keys).agg(*[F.sum(F.coalesce(F.col("w")[i], none[i])).alias(f"l{i}") for i in k])
+        out = out.withColumn("logs", F.array(*[F.col(f"l{i}") + math.log((total.get(d, 0) + 1) / (every + len(domains))) for i, d in enumerate(domains)]))
+        for f in _CELL:
+            unseen = F.array(*[F.log(F.lit(1.0 / (total.get(d, 0) + 20.0))) for d in domains])
+            out = out.join(F.broadcast(tables[f]), f, "left").withColumn("logs", F.zip_with("logs", F.coalesce("w", unseen), lambda a, b: a + b)).drop("w")
+        top = F.array_max("logs")
+        return out.select(*keep, F.transform("logs", lambda x: x - top).alias("logs"))
+
+    return scored
+
+
+def _posteriors(rows: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
+    """``rows`` with p: the posterior of each domain, by naive Bayes on words and features.
+
+    ``labelled`` has the features, words (hashes) and domain. Its rows give the
+    counts: Laplace-smoothed per feature value and word hash, in tables bounded by the values. The
+    log-odds are scaled down, as words are not independent: by the factor of the least log loss
+    on one row in five, under a model of the others.
     """
-    total = {r.domain: r.n for r in labelled.groupBy("domain").agg(F.sum("n").alias("n")).collect()}  # a row per domain
-    every = sum(total.values())
-    out = cells.withColumn("logs", F.array(*[F.lit(math.log((total.get(d, 0) + 1) / (every + len(domains)))) for d in domains]))
-    for f in _CELL:
-        spread = labelled.groupBy(f).agg(*[F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, d in enumerate(domains)])
-        weight = spread.select(f, F.array(*[F.log((F.col(f"n{i}") + 1.0) / F.lit(total.get(d, 0) + 20.0)) for i, d in enumerate(domains)]).alias("w"))
-        none = F.array(*[F.log(F.lit(1.0 / (total.get(d, 0) + 20.0))) for d in domains])
-        out = out.join(weight, f, "left").withColumn("logs", F.zip_with("logs", F.coalesce("w", none), lambda a, b: a + b)).drop("w")
-    top = F.array_max("logs")
-    raw = F.transform("logs", lambda x: F.exp(x - top))
-    return out.withColumn("raw", raw).withColumn("p", F.transform("raw", lambda x: x / F.aggregate("raw", F.lit(0.0), lambda a, b: a + b))).drop("logs", "raw")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    scale = 1.0
+    own = F.element_at("logs", F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int"))
+    loss = [F.sum(F.log(F.aggregate(F.transform("logs", lambda x, c=c: F.exp(x * c)), F.lit(0.0), lambda a, b: a + b)) - own * c) for c in SCALES]
+    losses = _model(labelled.where(~held), domains)(labelled.where(held), ["domain"]).agg(*loss).first()
+    if losses[0] is not None:
+        scale = min(zip(losses, SCALES, strict=True))[1]
+    raw = F.transform("logs", lambda x: F.exp(x * scale))
+    out = _model(labelled, domains)(rows, ["doc_id", "tokens"]).withColumn("raw", raw)
+    return out.withColumn("p", F.transform("raw", lambda x: x / F.aggregate("raw", F.lit(0.0), lambda a, b: a + b))).drop("logs", "raw")
 
 
 def _weighted(cells: DataFrame, weights: list[float]) -> DataFrame:
@@ -103,8 +139,8 @@ def mix_and_misses(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     the labelled documents gives every document a posterior over the domains, so that
     one without label, or of an unknown source, belongs to several in part. Rates r
     >= 0 minimise the squared misses of sum(r * tokens * p[domain]) from target share x
-    total tokens, and of these rates the nearest to 1. Documents of equal features share
-    posterior and rate, so a step is a few aggregations over the table of feature cells. ``targets`` defaults to the predicted totals to
+    total tokens, and of these rates the nearest to 1. The source column is not read here:
+    words, language and lengths decide, and a step is a few aggregations over the posteriors. ``targets`` defaults to the predicted totals to
     the power 0.7; ``total_tokens`` to the least total at which no domain has to shrink;
     ``least_rate`` raises the bound of 0, with 1 no document is lost. copies is the
     rate rounded up or down with its fraction as the probability, by a hash of the id.
@@ -115,15 +151,13 @@ def mix_and_misses(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    rows = scratch.save(_features(docs), "features")
+    rows = _features(docs).withColumn("words", F.transform(F.filter("words", lambda x: x != ""), lambda x: F.pmod(F.xxhash64(x), F.lit(WORD_BUCKETS)).cast("short")))
     marks = labels.where("doc_id is not null and domain is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).distinct()
-    labelled = scratch.save(rows.join(marks, "doc_id").groupBy(*_CELL, "domain").agg(F.count(F.lit(1)).alias("n")), "labelled")
+    labelled = scratch.save(rows.join(marks, "doc_id").select("doc_id", *_CELL, "words", "domain"), "labelled")
     domains = sorted(r.domain for r in labelled.select("domain").distinct().collect())  # a row per domain
     if not domains:
         return rows.select("doc_id", "tokens", F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies")), spark.createDataFrame([], _REPORT)
-    cells = rows.groupBy(*_CELL).agg(F.sum("tokens").cast("double").alias("mass"))
-    cells = scratch.save(_posteriors(cells, labelled, domains), "cells")
-
+    cells = scratch.save(_posteriors(rows, labelled, domains).withColumn("mass", F.col("tokens").cast("double")), "cells")
     start = [float(x) for x in _sums(cells, F.col("mass"), len(domains))]
     shares = targets or {d: t**0.7 for d, t in zip(domains, start, strict=True)}
     share = [max(0.0, shares.get(d, 0.0)) for d in domains]
@@ -133,11 +167,13 @@ def mix_and_misses(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     weights, reached, optimal = _fit(cells, goal, steps, least_rate)
     report = spark.createDataFrame([(d, t, g, n, (g - n) / g if g > 0 else None, optimal) for d, t, g, n in zip(domains, start, goal, map(float, reached), strict=True)], _REPORT)
     name = F.element_at(F.array(*map(F.lit, domains)), F.array_position("p", F.array_max("p")).cast("int"))
-    solved = scratch.save(_weighted(cells, weights).select(*_CELL, _rate(least_rate).alias("rate"), name.alias("domain")), "rates")
+    # a row without tokens moves no total and keeps its rate
+    rate = F.when(F.col("tokens") > 0, _rate(least_rate)).otherwise(F.lit(max(1.0, least_rate)))
+    solved = _weighted(cells, weights).select("doc_id", "tokens", name.alias("domain"), rate.alias("rate"))
     whole = F.floor("rate")
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     extra = F.when(F.col("doc_id").isNull(), (F.col("rate") - whole >= 0.5).cast("int")).otherwise((chance < F.col("rate") - whole).cast("int"))
-    return rows.join(solved, _CELL).select("doc_id", "tokens", "domain", "rate", (whole + extra).cast("long").alias("copies")), report
+    return solved.select("doc_id", "tokens", "domain", "rate", (whole + extra).cast("long").alias("copies")), report
 
 
 def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple[list[float], list[float], bool]:
@@ -199,6 +235,8 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
                 after, then = measure(tried)
                 if after - g @ tried + penalty * unit * (tried @ tried) / 2 <= value + 1e-4 * size * (slope @ step):
                     break
+                if np.abs(then - g + penalty * unit * tried).max() < 0.5 * np.abs(slope).max():  # where the cost drowns in rounding
+                    break
                 size /= 2
                 if size < 1e-6:
                     break

@@ -40,3 +40,14 @@ def test_rates_are_optimal_or_meet_each_goal(spark, k):
             free = r > least + 1e-9
             assert np.abs(pull[free]).max(initial=0) < 1e-3 * goal.mean() and pull[~free].max(initial=-1) < 1e-3 * goal.mean()
     cells.unpersist()
+
+
+def test_domains_come_from_the_text_and_not_from_the_source_column(spark):
+    rng = random.Random(2)
+    rows = [(i, own_words("ab"[i % 2], 30, rng), "ab"[i % 2], "en") for i in range(200)]
+    rows += [(1000, own_words("a", 30, rng), "b", "en"), (1001, own_words("b", 30, rng), None, "en"), (1002, own_words("a", 15, rng) + " " + own_words("b", 15, rng), "a", "en"), (None, "", "b", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").coalesce(2)
+    labels = docs.where("doc_id < 200").selectExpr("doc_id", "source AS domain")
+    got = {r.doc_id: r for r in mixing.mix(docs, labels).collect()}
+    assert len(got) == 204 and got[1000].domain == "a" and got[1001].domain == "b" and got[None].rate == 1.0
+    assert [r.tokens for r in mixing.mix(docs.where("doc_id = 1002"), labels.limit(0)).collect()] == [30]
