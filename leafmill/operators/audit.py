@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +40,18 @@ def summary(results: DataFrame, group: list[str], state: str, duration: str) ->
 def text_retention(pairs: DataFrame, key: str, reference: str, actual: str) -> DataFrame:
     """(key, matched, expected, retention): share of the reference's characters found, as multisets.
 
-    Whitespace is removed; expected 0 gives a null retention. Each side is counted by
-    (key, character) with map-side combine before the two meet.
+    Both are normalised to NFKC, then whitespace is removed; expected 0 gives a null retention.
+    Each side is counted by (key, character) with map-side combine before the two meet.
     """
+    def normalised(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            texts = [pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in c.to_pylist()], pa.string()) for c in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *texts], [key, *names])
+
+    names = list(dict.fromkeys([reference, actual]))
+    pairs = pairs.select(key, *[F.col(c).cast("string").alias(c) for c in names])
+    pairs = pairs.mapInArrow(normalised, pairs.schema)
+
     def counted(col: str, name: str) -> DataFrame:
         chars = F.explode(F.split(F.regexp_replace(F.col(col), r"\p{IsWhite_Space}+", ""), ""))
         return pairs.select(key, chars.alias("ch")).where("ch <> ''").groupBy(key, "ch").agg(F.count(F.lit(1)).alias(name))
