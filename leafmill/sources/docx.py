@@ -15,7 +15,8 @@ _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _TYPES = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
 _RELS = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
 #: Elements that hold what text pages cannot carry.
-_REFUSED = {"drawing", "pict", "object", "footnoteReference", "endnoteReference"}
+_REFUSED = {"drawing", "pict", "object", "headerReference", "footerReference", "footnoteReference", "endnoteReference"}
+_WORD = {_W, "http://purl.oclc.org/ooxml/wordprocessingml/main"}
 MAX_ENTRY = 64 << 20
 
 
@@ -39,32 +40,69 @@ def write_docx(pages: list[str]) -> bytes:
 
 
 class _Body:
+    """Pages of lines; a table row is one line, its cells separated by tabs."""
+
     def __init__(self):
         self.pages, self.lines, self.line, self.in_text, self.broke = [], [], [], False, False
+        self.rows, self.marks = [], []  # cells of the open rows, first lines of the open cells
 
     def start(self, name: str, attrs: dict) -> None:
-        tag = name.rpartition("}")[2]
+        space, _, tag = name.rpartition("}")
+        if space not in _WORD:
+            return
         if tag in _REFUSED:
             raise ValueError("UNSUPPORTED_CONTENT")
         if tag == "t":
             self.in_text = True
         elif tag == "tab":
             self.line.append("\t")
+        elif tag == "cr":
+            self.line.append("\n")
         elif tag == "br":
             if any(k.endswith("}type") and v == "page" for k, v in attrs.items()):
-                self.pages.append("\n".join(self.lines))
-                self.lines, self.line, self.broke = [], [], True
+                self.page()
+                self.broke = True
             else:
                 self.line.append("\n")
+        elif tag == "pageBreakBefore":
+            off = any(k.endswith("}val") and v in ("0", "false", "off") for k, v in attrs.items())
+            if not off and any(x.strip() for x in (*self.lines, *self.line, *(c for r in self.rows for c in r))):
+                self.page()
+        elif tag == "tr":
+            self.rows.append([])
+        elif tag == "tc":
+            self.marks.append(len(self.lines))
+
+    def page(self) -> None:
+        """End the page, with what the open paragraph, cells and rows hold so far."""
+        if self.line:
+            self.lines.append("".join(self.line))
+        for mark, cells in zip(reversed(self.marks), reversed(self.rows)):
+            cells.append(self.cell(mark))
+            self.lines.append("\t".join(cells))
+        self.pages.append("\n".join(self.lines))
+        self.lines, self.line = [], []
+        self.rows, self.marks = [[] for _ in self.rows], [0 for _ in self.marks]
+
+    def cell(self, mark: int) -> str:
+        text = "\n".join(x for x in self.lines[mark:] if x)
+        del self.lines[mark:]
+        return text
 
     def end(self, name: str) -> None:
-        tag = name.rpartition("}")[2]
+        space, _, tag = name.rpartition("}")
+        if space not in _WORD:
+            return
         if tag == "t":
             self.in_text = False
         elif tag == "p":
             if not (self.broke and not self.line):  # the paragraph of a page break is no line
                 self.lines.append("".join(self.line))
             self.line, self.broke = [], False
+        elif tag == "tc" and self.marks and self.rows:
+            self.rows[-1].append(self.cell(self.marks.pop()))
+        elif tag == "tr" and self.rows:
+            self.lines.append("\t".join(self.rows.pop()))
 
     def text(self, data: str) -> None:
         if self.in_text:
