@@ -24,13 +24,14 @@ WIDE = 64
 def _features(docs: DataFrame) -> DataFrame:
     """doc_id, tokens, the categorical features of each row (language, length, word length) and its hashed words.
 
-    Tokens are runs of non-space ASCII; all are counted and hashed. The source is no feature.
+    Tokens are runs of non-space ASCII; all are counted and hashed, in one pass over the text. The
+    source is no feature.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
     size = F.octet_length(text)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("f_lang"), words.cast("long").alias("tokens"), size.alias("size"), F.split(F.lower(text), r"[\x20\x09-\x0D]+").alias("words"))
+    hashed = F.transform(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda x: x != ""), lambda x: F.pmod(F.xxhash64(x), F.lit(WORD_BUCKETS)).cast("short"))
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("f_lang"), size.alias("size"), hashed.alias("words")).withColumn("tokens", F.size("words").cast("long"))
     return row.select(
         "doc_id", "tokens", "f_lang",
         F.floor(F.log2(F.col("tokens") + 1)).cast("int").alias("f_length"),
@@ -151,7 +152,8 @@ def mix_and_misses(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    rows = _features(docs).withColumn("words", F.transform(F.filter("words", lambda x: x != ""), lambda x: F.pmod(F.xxhash64(x), F.lit(WORD_BUCKETS)).cast("short")))
+    # Texts are split and hashed once; what follows reads two bytes a word.
+    rows = scratch.save(_features(docs), "features")
     marks = labels.where("doc_id is not null and domain is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).distinct()
     labelled = scratch.save(rows.join(marks, "doc_id").select("doc_id", *_CELL, "words", "domain"), "labelled")
     domains = sorted(r.domain for r in labelled.select("domain").distinct().collect())  # a row per domain
@@ -247,16 +249,27 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
 
 
 def mixed_corpus(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """``docs`` with domain, rate and copy: each row as often as its copies say."""
-    plan = mix(docs, labels, **settings).groupBy("doc_id").agg(F.first("domain").alias("domain"), F.max("rate").alias("rate"), F.max("copies").alias("copies"))
-    joined = docs.join(plan.withColumnRenamed("doc_id", "_id"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))).drop("_id")
-    return joined.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+    """``docs`` with domain, rate and copy: each row as often as its copies say.
+
+    Columns of ``docs`` named domain, rate or copy give way to the new ones; others stay. Rows that
+    repeat a doc_id share one plan, the one of the highest rate (then the last domain). Nulls, long
+    texts and empty tables are as in ``mix``.
+    """
+    best = mix(docs, labels, **settings).groupBy("doc_id").agg(F.max(F.struct("rate", "domain", "copies")).alias("_mix_plan"))
+    kept = [c for c in docs.columns if c not in ("domain", "rate", "copy")]
+    joined = docs.select(*kept).join(best.withColumnRenamed("doc_id", "_mix_id"), docs["doc_id"].cast("long").eqNullSafe(F.col("_mix_id")))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), "_mix_plan.copies")).alias("copy")
+    return joined.where("_mix_plan.copies > 0").select(*kept, F.col("_mix_plan.domain").alias("domain"), F.col("_mix_plan.rate").alias("rate"), copies)
 
 
 def source_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, domain): the sources of the documents that the labelled table covers."""
+    """(doc_id, domain): the sources of the documents that the labelled table covers.
+
+    Rows without doc_id are left out; a null source is a null domain. Other columns are ignored.
+    """
     covered = labels.select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    return docs.join(covered, docs["doc_id"].cast("long") == F.col("_id"), "left_semi").select("doc_id", F.col("source").alias("domain"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("domain"))
+    return named.join(covered, F.col("doc_id") == F.col("_id"), "left_semi")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,17 @@ def test_domains_come_from_the_text_and_not_from_the_source_column(spark):
     got = {r.doc_id: r for r in mixing.mix(docs, labels).collect()}
     assert len(got) == 204 and got[1000].domain == "a" and got[1001].domain == "b" and got[None].rate == 1.0
     assert [r.tokens for r in mixing.mix(docs.where("doc_id = 1002"), labels.limit(0)).collect()] == [30]
+
+
+def test_corpus_with_clashing_columns_repeats_and_empty_tables(spark):
+    rng = random.Random(3)
+    rows = [(i, own_words("ab"[i % 2], 20, rng), "ab"[i % 2], "en", 1.0, 2, 3, "x", 4) for i in range(40)]
+    rows += [(0, "other words", "a", "en", 1.0, 2, 3, "x", 4), (None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, rate double, copies int, _id int, domain string, copy int")
+    labels = mixing.source_labels(docs, docs.select("doc_id"))
+    out = mixing.mixed_corpus(docs, labels, least_rate=1.0)
+    assert out.columns == ["doc_id", "text", "source", "lang", "copies", "_id", "domain", "rate", "copy"]
+    got = out.collect()
+    assert {r.doc_id for r in got} == {*range(40), None} and {r.domain for r in got if r.doc_id is not None} == {"a", "b"}
+    assert all(r.copies in (2, None) for r in got)
+    assert mixing.mixed_corpus(docs.limit(0), labels.limit(0)).count() == 0
