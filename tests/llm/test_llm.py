@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, exact, langid, minhash, mixing, pii, repeats, textops, tiling, toxicity, urls
+from leafmill.llm import chat, exact, langid, minhash, mixing, repeats, textops, tiling, toxicity, urls
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -165,18 +165,6 @@ def test_urls(spark):
     assert got[5][:3] == got[6][:3] == ("", "", None) and got[7][2] == "com/en/"
 
 
-def test_surrogates():
-    text = "bob.1@mail.example.com, +1 (523) 555-1055, 10.2.3.4, 4785380592391139, BOB.1@x.org, bob.1@mail.example.com"
-    new, found = pii.replaced(text)
-    assert len(new) - len(text) == sum(len(x[4]) - len(x[3]) for x in found) and len(found) == 6
-    assert found[0][4] == found[5][4] != found[0][3]
-    assert pii.replaced(None) == (None, []) and pii.replaced("") == ("", [])
-    seen = {pii.surrogate("ssn", f"{i:03d}-12-3456") for i in range(1000)}
-    assert len(seen) == 1000
-    assert sorted(pii._permuted(i, 37, b"k", "t") for i in range(37)) == list(range(37))
-    assert pii.surrogate("name", "Иван") in pii.NAMES["cyrillic", "m"]
-
-
 def test_mixing_meets_targets(spark):
     rows = [(i, prose(random.Random(i), 20 + i % 30), "a" if i % 4 else "b", "en") for i in range(200)] + [(None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
