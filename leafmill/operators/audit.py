@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,9 +19,10 @@ def unknown_results(results: DataFrame, manifest: DataFrame, key: str) -> DataFr
     return joined.withColumn("error", F.when(F.col("_known").isNull(), "UNKNOWN_DOCUMENT")).drop("_known")
 
 
-def missing_results(documents: DataFrame, operations: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
-    """(document, operation) pairs without a result; the operations are a small fixed table."""
-    return documents.join(F.broadcast(operations)).join(results.select(*keys).distinct(), keys, "left_anti")
+def missing_results(documents: DataFrame, operations: list[str], results: DataFrame, keys: list[str]) -> DataFrame:
+    """(document, operation) pairs without a result; ``keys`` end with the operation's column."""
+    expected = documents.withColumn(keys[-1], F.explode(F.array(*map(F.lit, operations))))
+    return expected.join(results.select(*keys).distinct(), keys, "left_anti")
 
 
 def duplicates(documents: DataFrame, id_col: str, content: Column) -> DataFrame:
@@ -27,39 +30,56 @@ def duplicates(documents: DataFrame, id_col: str, content: Column) -> DataFrame:
     return documents.groupBy(content.alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("first_id")).where("copies > 1")
 
 
-def summary(results: DataFrame, group: list[str], state: str, duration: str) -> DataFrame:
-    """Attempted, succeeded, failed and p95 duration per group."""
+def summary(results: DataFrame, group: list[str]) -> DataFrame:
+    """Per group: attempted, succeeded, expected_failure, unexpected, p95 of elapsed_ms and peak_rss_mib.
+
+    ``results`` has state, error_code, expected_codes (array or null), elapsed_ms, peak_rss_mib. A success where
+    a failure is expected is unexpected, as is a failure with another code. p95 is the nearest rank;
+    null for no value.
+    """
+    expected = F.coalesce((F.col("state") == "failed") & F.array_contains("expected_codes", F.col("error_code")), F.lit(False))
+    succeeded = F.coalesce((F.col("state") == "succeeded") & F.col("expected_codes").isNull(), F.lit(False))
     return results.groupBy(*group).agg(
         F.count(F.lit(1)).alias("attempted"),
-        F.count_if(F.col(state) == "succeeded").alias("succeeded"),
-        F.count_if(F.col(state) != "succeeded").alias("failed"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {duration})").alias("p95"),
+        F.count_if(succeeded).alias("succeeded"),
+        F.count_if(expected).alias("expected_failure"),
+        F.count_if(~succeeded & ~expected).alias("unexpected"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY elapsed_ms)").alias("p95_ms"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY peak_rss_mib)").alias("p95_mib"),
     )
 
 
-def text_retention(pairs: DataFrame, key: str, reference: str, actual: str) -> DataFrame:
-    """(key, matched, expected, retention): share of the reference's characters found, as multisets.
+def normalised_text(text: str) -> str:
+    """NFKC without white space."""
+    return _SPACE.sub("", unicodedata.normalize("NFKC", text))
 
-    Both are normalised to NFKC, then whitespace is removed; expected 0 gives a null retention.
-    Each side is counted by (key, character) with map-side combine before the two meet.
-    """
-    def normalised(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            texts = [pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in c.to_pylist()], pa.string()) for c in batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *texts], [key, *names])
 
-    names = list(dict.fromkeys([reference, actual]))
-    pairs = pairs.select(key, *[F.col(c).cast("string").alias(c) for c in names])
-    pairs = pairs.mapInArrow(normalised, pairs.schema)
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
-    def counted(col: str, name: str) -> DataFrame:
-        chars = F.explode(F.split(F.regexp_replace(F.col(col), r"\p{IsWhite_Space}+", ""), ""))
-        return pairs.select(key, chars.alias("ch")).where("ch <> ''").groupBy(key, "ch").agg(F.count(F.lit(1)).alias(name))
 
-    met = counted(reference, "r").join(counted(actual, "a"), [key, "ch"], "left")
-    sums = met.groupBy(key).agg(F.sum(F.least("r", F.coalesce("a", F.lit(0)))).alias("matched"), F.sum("r").alias("expected"))
-    out = pairs.select(key).distinct().join(sums, key, "left")
-    return out.select(key, F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("expected", F.lit(0)).alias("expected"), (F.col("matched") / F.col("expected")).alias("retention"))
+def text_retention(pairs: DataFrame, key: str, reference: str, actual: str) -> DataFrame:
+    """One row per pair: key, matched, expected, retention (null without expected characters).
+
+    The share of the reference's characters found in the actual text, as multisets after NFKC
+    without white space. A pair is compared within its row; nothing is shuffled.
+    """
+
+    def compared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            matched, expected, known = [], [], {}
+            for ref, act in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if ref not in known:  # a reference often stands beside many texts
+                    if len(known) > 1000:
+                        known.clear()
+                    known[ref] = Counter(normalised_text(ref or ""))
+                want, text = known[ref], normalised_text(act or "")
+                matched.append(sum(min(n, text.count(c)) for c, n in want.items()))
+                expected.append(want.total())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(matched, pa.int64()), pa.array(expected, pa.int64())], [key, "matched", "expected"])
+
+    rows = pairs.select(key, F.col(reference).cast("string").alias("_ref"), F.col(actual).cast("string").alias("_act"))
+    out = rows.mapInArrow(compared, f"{key} {dict(rows.dtypes)[key]}, matched long, expected long")
+    return out.withColumn("retention", F.when(F.col("expected") > 0, F.col("matched") / F.col("expected")))
 
 
 def latest_revision(rows: DataFrame, key: str, revision: list[str], value: str) -> DataFrame:
@@ -78,10 +98,46 @@ def gap_free_prefix(rows: DataFrame, key: str, position: str) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(position)) - 1).where(F.col(position) == F.col("_rank")).drop("_rank")
 
 
+MAX_COPIES = 1000
+
+
 def reserve_names(rows: DataFrame, stem: str, order: str) -> DataFrame:
-    """Output names ``stem``, ``stem (1)``, ... by order within equal stems."""
+    """Output names ``stem``, ``stem (1)``, ... by order; null after ``stem (1000)``.
+
+    A stem that itself reads ``x (1)`` may be taken by a copy of ``x``, or take its name: the
+    stems of such a family (equal but for the counts at the end) are named one after another. Other stems,
+    nearly all, are ranked by a window. A key that holds a third of the rows is one task.
+    """
+    family = F.regexp_replace(F.col(stem), r"( \((?:[1-9][0-9]{0,2}|1000)\))+$", "")
+    tagged = rows.withColumns({"_family": family, "_counted": family != F.col(stem)})
+    mixed = tagged.where("_counted").select("_family").distinct()
+    alone = tagged.join(mixed, "_family", "left_anti")
     rank = F.row_number().over(Window.partitionBy(stem).orderBy(order)) - 1
-    return rows.withColumn("_rank", rank).withColumn("reserved", F.when(F.col("_rank") == 0, F.col(stem)).otherwise(F.format_string("%s (%d)", F.col(stem), F.col("_rank")))).drop("_rank")
+    named = F.when(F.col("_rank") == 0, F.col(stem)).when(F.col("_rank") <= MAX_COPIES, F.format_string("%s (%d)", F.col(stem), F.col("_rank")))
+    names = list(rows.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", reserved string"
+
+    def one_after_another(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        taken, nexts, out = set(), {}, []
+        for s in table.column(stem).to_pylist():
+            n = nexts.get(s, 0)
+            while n <= MAX_COPIES and (f"{s} ({n})" if n else s) in taken:
+                n += 1
+            nexts[s] = n + 1
+            name = (f"{s} ({n})" if n else s) if n <= MAX_COPIES else None
+            taken.add(name)
+            out.append(name)
+        return table.select(names).append_column("reserved", pa.array(out, pa.string()))
+
+    families = tagged.join(mixed, "_family", "left_semi").groupBy("_family").applyInArrow(one_after_another, schema)
+    return alone.withColumn("_rank", rank).withColumn("reserved", named).select(*names, "reserved").unionByName(families)
+
+
+def output_files(stem: Column, extension: Column, count: Column) -> Column:
+    """The files of one conversion: ``stem.ext``, or ``stem-001.ext`` and so on for several."""
+    several = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.concat(stem, F.lit("-"), F.format_string("%03d", i), F.lit("."), extension))
+    return F.when(count == 1, F.array(F.concat(stem, F.lit("."), extension))).when(count > 1, several)
 
 
 def running_budget(rows: DataFrame, group: str, order: str, size: str, cap: int) -> DataFrame:
@@ -90,6 +146,26 @@ def running_budget(rows: DataFrame, group: str, order: str, size: str, cap: int)
     return rows.withColumn("used", F.sum(size).over(upto)).withColumn("within", F.col("used") <= cap)
 
 
-def component_inventory(components: DataFrame) -> DataFrame:
-    """Distinct components by purl and version."""
-    return components.groupBy("purl", "version").agg(F.min("license").alias("license"))
+def component_inventory(components: DataFrame, position: str = "position") -> DataFrame:
+    """Distinct components by purl and version in the order of purl; the first license of each counts."""
+    return components.groupBy("purl", "version").agg(F.min_by("license", position).alias("license")).orderBy("purl", "version")
+
+
+def unknown_licenses(components: DataFrame) -> DataFrame:
+    return components.where(F.col("license") == "UNKNOWN")
+
+
+def self_check(checks: DataFrame, group: str) -> DataFrame:
+    """Per group ``ready`` if all its checks passed, else ``repairable``."""
+    return checks.groupBy(group).agg(F.when(F.bool_and(F.col("status") == "passed"), "ready").otherwise("repairable").alias("state"))
+
+
+def first_mode_per_output(modes: DataFrame, group: str, output: str, position: str) -> DataFrame:
+    """Of each output of a group the first mode: one aggregation, no window."""
+    rest = [c for c in modes.columns if c not in (group, output)]
+    return modes.groupBy(group, output).agg(F.min_by(F.struct(*rest), position).alias("_first")).select(group, output, "_first.*")
+
+
+def not_present(paths: DataFrame, listed: DataFrame, key: str = "path") -> DataFrame:
+    """Dropped paths that are not in the list yet, each once."""
+    return paths.dropDuplicates([key]).join(listed.select(key), key, "left_anti")

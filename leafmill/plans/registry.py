@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators import audit as A
+from leafmill.sources import pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,16 +50,15 @@ regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 
 @query(f"WITH {_LINES} SELECT doc_id, pos // 55 + 1 AS page_no, string_agg({_ESCAPED}, chr(10) ORDER BY pos) AS markdown FROM laid GROUP BY 1, 2")
 def markdown_pages(spark, sf_dir):
-    lines = X.paginate(table(spark, sf_dir, "documents", "doc_id", "text"))
-    escaped = lines.select("doc_id", "page_no", "line_no", X.markdown_escape(F.col("line")).alias("line"))
-    return escaped.groupBy("doc_id", "page_no").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("markdown"))
+    lines = F.transform(X.wrapped_lines(F.col("text")), X.markdown_escape)
+    pages = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(X.page_texts(lines)).alias("at", "markdown"))
+    return pages.select("doc_id", (F.col("at") + 1).cast("long").alias("page_no"), "markdown")
 
 
-@query(f"""WITH {_LINES}, p AS (SELECT doc_id, pos // 55 + 1 AS page_no, string_agg({_ESCAPED}, chr(10) ORDER BY pos) AS m FROM laid GROUP BY 1, 2)
-SELECT doc_id, string_agg('<!-- page: ' || page_no || ' -->' || chr(10) || chr(10) || m || chr(10), chr(10) ORDER BY page_no) AS markdown FROM p GROUP BY doc_id""")
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, pos // 55 + 1 AS page_no, string_agg({_ESCAPED}, chr(10) ORDER BY pos) AS m, string_agg(line, chr(10) ORDER BY pos) AS raw FROM laid GROUP BY 1, 2)
+SELECT doc_id, string_agg('<!-- page: ' || page_no || ' -->' || CASE WHEN raw = '' THEN '' ELSE chr(10) || chr(10) || m END, chr(10) || chr(10) ORDER BY page_no) || chr(10) AS markdown FROM p GROUP BY doc_id""")
 def markdown_document(spark, sf_dir):
-    page = F.concat(F.lit("<!-- page: "), F.col("page_no"), F.lit(" -->\n\n"), F.col("markdown"), F.lit("\n"))
-    return markdown_pages(spark, sf_dir).withColumn("page", page).groupBy("doc_id").agg(F.expr("listagg(page, '\n') WITHIN GROUP (ORDER BY page_no)").alias("markdown"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.markdown_document(X.page_texts(X.wrapped_lines(F.col("text")))).alias("markdown"))
 
 
 @query(r"SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[\\`*_{}\[\]<>|]', '', 'g')) AS BIGINT) AS controls FROM documents")
@@ -87,12 +87,14 @@ def text_join_pages(spark, sf_dir):
     return table(spark, sf_dir, "conversations", "conv_id", "turn", "text").groupBy("conv_id").agg(F.expr("listagg(text, '\n\n') WITHIN GROUP (ORDER BY turn)").alias("text"), F.count(F.lit(1)).alias("pages"))
 
 
-_SPECS = ["all", "", "1", "2-4", "1,3", "3-1", " 2 - 3 ,5", "0", "x", "7,7,6-8", "1-10001"]
+_SPECS = ["all", "", "1", "2-4", "1,3", "3-1", " 2 - 3 ,5", "0", "x", "7,7,6-8", "1-10001", "20000-20001", "\t+5", "4294967296", "1-2-3", "1,", "1-10000"]
 
 
-@query("""SELECT * FROM (VALUES ('all', NULL, NULL, true), ('', NULL, NULL, true), ('1', '1', NULL, true), ('2-4', '2,3,4', NULL, true), ('1,3', '1,3', NULL, true),
+@query("""SELECT spec, pages, error, strict FROM (VALUES ('all', NULL, NULL, true), ('', NULL, NULL, true), ('1', '1', NULL, true), ('2-4', '2,3,4', NULL, true), ('1,3', '1,3', NULL, true),
 ('3-1', NULL, 'INVALID_PAGES', false), (' 2 - 3 ,5', '2,3,5', NULL, false), ('0', NULL, 'INVALID_PAGES', false), ('x', NULL, 'INVALID_PAGES', false),
-('7,7,6-8', '6,7,8', NULL, true), ('1-10001', NULL, 'INVALID_PAGES', true)) t(spec, pages, error, strict)""")
+('7,7,6-8', '6,7,8', NULL, true), ('1-10001', NULL, 'INVALID_PAGES', true), ('20000-20001', '20000,20001', NULL, true), (chr(9) || '+5', '5', NULL, true),
+('4294967296', '4294967296', NULL, false), ('1-2-3', NULL, 'INVALID_PAGES', false), ('1,', NULL, 'INVALID_PAGES', false),
+('1-10000', (SELECT string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FROM range(1, 10001) t(i)), NULL, true)) t(spec, pages, error, strict)""")
 def page_range_parse(spark, sf_dir):
     specs = spark.createDataFrame([(s,) for s in _SPECS], "spec string").withColumn("r", X.page_range(F.col("spec")))
     return specs.select("spec", F.array_join(F.transform("r.pages", lambda p: p.cast("string")), ",").alias("pages"), "r.error", X.strict_page_range(F.col("spec")).alias("strict"))
@@ -100,8 +102,9 @@ def page_range_parse(spark, sf_dir):
 
 @query(f"WITH {_LINES} SELECT DISTINCT doc_id, pos // 55 + 1 AS page_no FROM laid WHERE pos // 55 + 1 IN (2, 3, 5)")
 def page_range_select(spark, sf_dir):
-    pages = X.paginate(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "page_no").distinct()
-    return pages.where(F.array_contains(X.page_range(F.lit("2-3,5"))["pages"], F.col("page_no").cast("int")))
+    count = F.ceil(F.size(X.wrapped_lines(F.col("text"))) / X.PAGE_LINES).cast("long")
+    pages = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("page_no"))
+    return pages.where(F.array_contains(X.page_range(F.lit("2-3,5"))["pages"], F.col("page_no")))
 
 
 @query(r"SELECT page_id, (NOT regexp_matches(url, '[\s\x00-\x1f\x7f]')) AND regexp_matches(lower(url), '^(#|https?://|mailto:)') AS safe, lower(url) LIKE 'https://%' AS https FROM pages")
@@ -109,13 +112,12 @@ def url_scheme_check(spark, sf_dir):
     return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", X.safe_link(F.col("url")).alias("safe"), X.is_https(F.col("url")).alias("https"))
 
 
-_HEAD = '<meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="default-src \'none\'; img-src data:; style-src \'unsafe-inline\'">'
+_HEAD = X.OFFLINE_HEAD.replace("'", "''")
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(html, '(?i)^\\s*<!doctype[^>]*>') THEN regexp_replace(html, '(?i)^(\\s*<!doctype[^>]*>)', '\\1" + _HEAD.replace("'", "''") + "') ELSE '<!doctype html>" + _HEAD.replace("'", "''") + "' || html END AS html FROM pages")
+@query(r"SELECT page_id, CASE WHEN regexp_matches(html, '(?i)^\x{FEFF}?\s*<!doctype\s+html\s*>') THEN regexp_replace(html, '(?i)^(\x{FEFF}?\s*<!doctype\s+html\s*>)', '\1" + _HEAD + "') ELSE '<!doctype html>" + _HEAD + "' || html END AS html FROM pages")
 def html_secure_rewrite(spark, sf_dir):
-    html, start = F.col("html"), r"(?i)^(\s*<!doctype[^>]*>)"
-    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.when(html.rlike(start), F.regexp_replace(html, start, "$1" + _HEAD)).otherwise(F.concat(F.lit("<!doctype html>" + _HEAD), html)).alias("html"))
+    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", X.secure_html(F.col("html")).alias("html"))
 
 
 @query("SELECT page_id, strlen(html) <= 4194304 AND NOT contains(html, chr(0)) AS accepted FROM pages")
@@ -143,17 +145,15 @@ def dangling_refs(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id").join(table(spark, sf_dir, "labels", "doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT doc_id, quality, CASE WHEN doc_id % 7 = 0 OR doc_id NOT IN (SELECT doc_id FROM documents) THEN 'UNKNOWN_DOCUMENT' END AS error FROM labels")
+@query("SELECT doc_id, quality, CASE WHEN doc_id NOT IN (SELECT doc_id FROM documents) THEN 'UNKNOWN_DOCUMENT' END AS error FROM labels")
 def audit_unknown(spark, sf_dir):
-    manifest = table(spark, sf_dir, "documents", "doc_id").where("doc_id % 7 <> 0")
-    return A.unknown_results(table(spark, sf_dir, "labels", "doc_id", "quality"), manifest, "doc_id")
+    return A.unknown_results(table(spark, sf_dir, "labels", "doc_id", "quality"), table(spark, sf_dir, "documents", "doc_id"), "doc_id")
 
 
 @query("SELECT doc_id, op FROM documents CROSS JOIN (VALUES ('pdf_to_txt'), ('pdf_to_markdown')) o(op) WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND op = CASE WHEN l.quality = 1 THEN 'pdf_to_txt' ELSE 'pdf_to_markdown' END)")
 def audit_missing(spark, sf_dir):
-    ops = spark.createDataFrame([("pdf_to_txt",), ("pdf_to_markdown",)], "op string")
     seen = table(spark, sf_dir, "labels", "doc_id", "quality").select("doc_id", F.when(F.col("quality") == 1, "pdf_to_txt").otherwise("pdf_to_markdown").alias("op"))
-    return A.missing_results(table(spark, sf_dir, "documents", "doc_id"), ops, seen, ["doc_id", "op"])
+    return A.missing_results(table(spark, sf_dir, "documents", "doc_id"), ["pdf_to_txt", "pdf_to_markdown"], seen, ["doc_id", "op"])
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -161,10 +161,18 @@ def audit_duplicates(spark, sf_dir):
     return A.duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", F.sha2("text", 256))
 
 
-@query("SELECT event_type, count(*) AS attempted, count(*) FILTER (state = 'succeeded') AS succeeded, count(*) FILTER (state <> 'succeeded') AS failed, quantile_disc(value, 0.95) AS p95 FROM (SELECT *, CASE WHEN event_id % 10 = 0 THEN 'failed' ELSE 'succeeded' END AS state FROM events) GROUP BY event_type")
+_RUNS = "SELECT event_type, CASE WHEN event_id % 10 = 0 THEN 'failed' ELSE 'succeeded' END AS state, CASE WHEN event_id % 10 = 0 THEN CASE WHEN event_id % 30 = 0 THEN 'PROTECTED' ELSE 'NO_TEXT_LAYER' END END AS code, event_id % 20 = 0 AS protected, value, user_id FROM events"
+
+
+@query(f"""SELECT event_type, count(*) AS attempted, count(*) FILTER (state = 'succeeded' AND NOT protected) AS succeeded, count(*) FILTER (state = 'failed' AND protected AND code = 'PROTECTED') AS expected_failure,
+count(*) FILTER (NOT (state = 'succeeded' AND NOT protected) AND NOT coalesce(state = 'failed' AND protected AND code = 'PROTECTED', false)) AS unexpected, quantile_disc(value, 0.95) AS p95_ms, quantile_disc(CAST(user_id AS DOUBLE), 0.95) AS p95_mib FROM ({_RUNS}) GROUP BY event_type""")
 def audit_summary_p95(spark, sf_dir):
-    runs = table(spark, sf_dir, "events", "event_id", "event_type", "value").withColumn("state", F.when(F.col("event_id") % 10 == 0, "failed").otherwise("succeeded"))
-    return A.summary(runs, ["event_type"], "state", "value")
+    n = F.col("event_id")
+    runs = table(spark, sf_dir, "events", "event_id", "event_type", "value", "user_id").select(
+        "event_type", F.when(n % 10 == 0, "failed").otherwise("succeeded").alias("state"), F.when(n % 30 == 0, "PROTECTED").when(n % 10 == 0, "NO_TEXT_LAYER").alias("error_code"),
+        F.when(n % 20 == 0, F.array(F.lit("PROTECTED"))).alias("expected_codes"), F.col("value").alias("elapsed_ms"), F.col("user_id").cast("double").alias("peak_rss_mib"),
+    )
+    return A.summary(runs, ["event_type"])
 
 
 @query("SELECT lang, count(*) AS n, count(*) >= 30 AS enough, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
@@ -177,14 +185,15 @@ def distinct_evidence(spark, sf_dir):
     return table(spark, sf_dir, "documents", "source", "text").groupBy("source").agg((F.countDistinct(F.sha2("text", 256)) == F.count(F.lit(1))).alias("distinct_evidence"))
 
 
-@query(r"""WITH p AS (SELECT d.doc_id, b.text AS ref, d.text AS act FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+@query(r"""WITH p AS (SELECT d.doc_id, b.text AS ref, d.text AS act FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)),
 r AS (SELECT doc_id, unnest(string_split(regexp_replace(ref, '\s+', '', 'g'), '')) AS ch FROM p), a AS (SELECT doc_id, unnest(string_split(regexp_replace(act, '\s+', '', 'g'), '')) AS ch FROM p),
 rc AS (SELECT doc_id, ch, count(*) AS r FROM r WHERE ch <> '' GROUP BY ALL), ac AS (SELECT doc_id, ch, count(*) AS a FROM a WHERE ch <> '' GROUP BY ALL)
 SELECT doc_id, CAST(sum(least(r, coalesce(a, 0))) AS BIGINT) AS matched, CAST(sum(r) AS BIGINT) AS expected, CAST(sum(least(r, coalesce(a, 0))) AS DOUBLE) / CAST(sum(r) AS DOUBLE) AS retention FROM rc LEFT JOIN ac USING (doc_id, ch) GROUP BY doc_id""")
 def text_retention(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark", "item_id", F.col("text").alias("ref"))
-    pairs = table(spark, sf_dir, "documents", "doc_id", F.col("text").alias("act")).withColumn("item_id", F.col("doc_id") % 40).join(items, "item_id")
-    return A.text_retention(pairs, "doc_id", "ref", "act")
+    count = items.agg((F.max("item_id") + 1).alias("n"))  # one row
+    pairs = table(spark, sf_dir, "documents", "doc_id", F.col("text").alias("act")).crossJoin(F.broadcast(count)).withColumn("item_id", F.col("doc_id") % F.col("n")).join(items, "item_id")
+    return A.text_retention(pairs, "doc_id", "ref", "act").where("expected > 0")
 
 
 @query("SELECT user_id, max(value) AS peak, count(*) >= 2 AS sampled, date_diff('millisecond', min(ts), max(ts)) AS elapsed_ms FROM events GROUP BY user_id")
@@ -206,9 +215,9 @@ def terminal_events(spark, sf_dir):
     return e.groupBy("user_id").agg(F.min(F.when(done, F.col("event_id"))).alias("finished_at"))
 
 
-@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rn FROM conversations WHERE turn % 5 <> 4) WHERE turn = rn")
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rn FROM conversations) WHERE turn = rn")
 def gap_free_prefix(spark, sf_dir):
-    return A.gap_free_prefix(table(spark, sf_dir, "conversations", "conv_id", "turn").where("turn % 5 <> 4"), "conv_id", "turn")
+    return A.gap_free_prefix(table(spark, sf_dir, "conversations", "conv_id", "turn"), "conv_id", "turn")
 
 
 @query("SELECT doc_id, source, CAST(sum(n_chars) OVER w AS BIGINT) AS used, sum(n_chars) OVER w <= 100000 AS within FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
@@ -222,12 +231,30 @@ def used_code_points(spark, sf_dir):
     return chars.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list("ch")), "").alias("used"))
 
 
-@query("SELECT 'pkg:part/' || p_name AS purl, p_brand AS version, min(CASE WHEN p_size % 2 = 0 THEN 'MIT' ELSE 'UNKNOWN' END) AS license FROM part GROUP BY 1, 2")
+@query("SELECT 'pkg:part/' || p_name AS purl, p_brand AS version, arg_min(CASE WHEN p_size % 2 = 0 THEN 'MIT' ELSE 'UNKNOWN' END, p_partkey) AS license FROM part GROUP BY 1, 2")
 def component_inventory(spark, sf_dir):
-    parts = table(spark, sf_dir, "part", "p_name", "p_brand", "p_size")
-    return A.component_inventory(parts.select(F.concat(F.lit("pkg:part/"), "p_name").alias("purl"), F.col("p_brand").alias("version"), F.when(F.col("p_size") % 2 == 0, "MIT").otherwise("UNKNOWN").alias("license")))
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size")
+    return A.component_inventory(parts.select(F.concat(F.lit("pkg:part/"), "p_name").alias("purl"), F.col("p_brand").alias("version"), F.when(F.col("p_size") % 2 == 0, "MIT").otherwise("UNKNOWN").alias("license"), F.col("p_partkey").alias("position")))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def checksums(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("WITH c AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS ch FROM documents), r AS (SELECT lang, ch, (row_number() OVER (PARTITION BY lang ORDER BY unicode(ch)) - 1) // 100 AS block FROM c WHERE ch <> '') SELECT lang, block, count(*) AS units, min(unicode(ch)) AS low, max(unicode(ch)) AS high FROM r GROUP BY 1, 2")
+def code_unit_blocks(spark, sf_dir):
+    """Distinct code units of each language in blocks of 100, as a font map lists them."""
+    chars = table(spark, sf_dir, "documents", "lang", "text").select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").select("lang", F.ascii("ch").alias("unit")).distinct()
+    ordered = chars.groupBy("lang").agg(F.array_sort(F.collect_list("unit")).alias("units"))  # at most 65 536 a language
+    blocks = ordered.select("lang", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("units"), F.lit(100)), lambda i: F.slice("units", i, F.lit(100)))).alias("block", "part"))
+    return blocks.select("lang", F.col("block").cast("long").alias("block"), F.size("part").cast("long").alias("units"), F.element_at("part", 1).alias("low"), F.element_at("part", -1).alias("high"))
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, pos // 55 + 1 AS page_no, rtrim(string_agg(rtrim(line, ' '), chr(10) ORDER BY pos) FILTER (trim(line, ' ') <> '')) AS t, sum(length(line)) AS shown FROM laid GROUP BY 1, 2)
+SELECT doc_id, CASE WHEN sum(shown) > 0 THEN string_agg(coalesce(t, ''), chr(10) || chr(10) ORDER BY page_no) END AS text, CASE WHEN sum(shown) > 0 THEN count(*) END AS page_count, CASE WHEN sum(shown) = 0 THEN 'NO_TEXT_LAYER' END AS error_code FROM p GROUP BY doc_id""")
+def pdf_round_trip(spark, sf_dir):
+    """Every document paginated, written as PDF and read back."""
+    pages = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.page_texts(X.wrapped_lines(F.col("text"))).alias("pages"))
+    read = pdf.pdf_text(pdf.to_pdf(pages).drop("error_code"))
+    return read.select("doc_id", "text", F.col("page_count").cast("long").alias("page_count"), "error_code")
