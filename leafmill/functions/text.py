@@ -216,6 +216,11 @@ def package_key(key: Column) -> Column:
     return F.when(clean.rlike(found), F.struct(F.regexp_extract(clean, found, 1).alias("name"), F.regexp_extract(clean, found, 2).alias("version")))
 
 
+def signature_extension(file: Column) -> Column:
+    """The lower-case extension of a file's name."""
+    return F.lower(F.regexp_extract(file, r"[^/]\.([^./]*)$", 1))
+
+
 def signature(content: Column) -> Column:
     """Format by magic bytes: pdf, png, jpg, gif, bmp, webp, tiff, zip, ole, rtf, or null."""
     head = lambda n: F.hex(F.substring(content, 1, n))

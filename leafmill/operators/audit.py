@@ -140,6 +140,17 @@ def output_files(stem: Column, extension: Column, count: Column) -> Column:
     return F.when(count == 1, F.array(F.concat(stem, F.lit("."), extension))).when(count > 1, several)
 
 
+def baseline_breaks(moves: DataFrame, page: list[str], order: str, dy: str) -> DataFrame:
+    """``moves`` with y (the sum of the moves so far) and breaks: whether the baseline is another than before.
+
+    A move of at most 0.001 is none; a baseline that differs by more than 0.5 begins a line.
+    """
+    upto = Window.partitionBy(*page).orderBy(order)
+    moved = F.when(F.abs(dy) > 0.001, F.col(dy)).otherwise(0.0)
+    placed = moves.withColumn("y", F.sum(moved).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.withColumn("breaks", F.coalesce(F.abs(F.col("y") - F.lag("y").over(upto)) > 0.5, F.lit(False)))
+
+
 def running_budget(rows: DataFrame, group: str, order: str, size: str, cap: int) -> DataFrame:
     """Rows with used (running sum of sizes) and within (used <= cap)."""
     upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators import audit as A
-from leafmill.sources import pdf
+from leafmill.operators import requests as R
+from leafmill.sources import archives, docx, images, pdf
+from leafmill.sources.frames import rows_from
+from leafmill.streaming import jobs as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -258,3 +261,95 @@ def pdf_round_trip(spark, sf_dir):
     pages = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.page_texts(X.wrapped_lines(F.col("text"))).alias("pages"))
     read = pdf.pdf_text(pdf.to_pdf(pages).drop("error_code"))
     return read.select("doc_id", "text", F.col("page_count").cast("long").alias("page_count"), "error_code")
+
+
+def _docx_files(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.page_texts(X.wrapped_lines(F.col("text"))).alias("pages"))
+    return docx.to_docx(pages)
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, pos // 55 + 1 AS page_no, coalesce(rtrim(string_agg(rtrim(line, ' '), chr(10) ORDER BY pos) FILTER (trim(line, ' ') <> '')), '') AS text FROM laid GROUP BY 1, 2),
+s AS (SELECT *, max(trim(text) <> '') OVER (PARTITION BY doc_id) AS shown FROM p)
+SELECT doc_id, page_no, text, CAST(NULL AS VARCHAR) AS error_code FROM s WHERE shown UNION ALL SELECT DISTINCT doc_id, NULL, NULL, 'CORRUPTED_DOCX' FROM s WHERE NOT shown""")
+def docx_round_trip(spark, sf_dir):
+    """Every document paginated, written as DOCX and read back; one without text is refused."""
+    return docx.from_docx(_docx_files(spark, sf_dir)).withColumn("page_no", F.col("page_no").cast("long"))
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, pos // 55 + 1 AS page_no, string_agg(line, chr(10) ORDER BY pos) AS page, count(*) AS n FROM laid GROUP BY 1, 2)
+SELECT doc_id, CAST(sum(CASE WHEN page = '' THEN 1 WHEN page LIKE '%' || chr(10) THEN n - 1 ELSE n END) + count(*) - 1 AS BIGINT) AS paragraphs, count(*) - 1 AS explicit_page_breaks FROM p GROUP BY doc_id""")
+def layout_probe(spark, sf_dir):
+    return docx.probed(_docx_files(spark, sf_dir)).select("doc_id", F.col("paragraphs").cast("long").alias("paragraphs"), F.col("explicit_page_breaks").cast("long").alias("explicit_page_breaks"))
+
+
+@query("SELECT doc_id, position, name, 0 AS method FROM documents CROSS JOIN (VALUES (0, '[Content_Types].xml'), (1, '_rels/.rels'), (2, 'word/document.xml')) t(position, name)")
+def zip_directory(spark, sf_dir):
+    return archives.zip_entries(_docx_files(spark, sf_dir)).select("doc_id", "position", "name", "method")
+
+
+@query("SELECT vec_id, format, CAST(1 + vec_id % 7 AS INTEGER) AS width, CAST(1 + vec_id % 5 AS INTEGER) AS height, 3 AS channels FROM embeddings CROSS JOIN (VALUES ('png'), ('bmp')) t(format)")
+def image_headers(spark, sf_dir):
+    """An image of each vector in two formats, written and read back."""
+
+    def made(i, form):
+        w, h = 1 + i % 7, 1 + i % 5
+        yield i, form, images.write_image(w, h, bytes(i % 251 for _ in range(3 * w * h)), form)
+
+    ids = table(spark, sf_dir, "embeddings", "vec_id").select("vec_id", F.explode(F.array(F.lit("png"), F.lit("bmp"))).alias("format"))
+    files = rows_from(ids, ["vec_id", "format"], "vec_id long, format string, content binary", made)
+    return images.inspected(files.select("vec_id", F.struct("format").alias("f"), "content", "format"), "vec_id").join(ids, "vec_id").where("error_code is null").select("vec_id", "format", "width", "height", "channels").distinct()
+
+
+_KIND_ROWS = ", ".join(f"('{k}', '{e}', '{out}')" for k, exts, out, _ in R.KINDS for e in exts)
+
+
+@query(f"WITH k(kind, ext, output) AS (VALUES {_KIND_ROWS}), n AS (SELECT page_id, lower(regexp_extract(url, '[^/]\\.([a-z0-9]+)$', 1)) AS ext FROM pages) SELECT page_id, kind, output FROM n JOIN k USING (ext)")
+def kind_extension_join(spark, sf_dir):
+    names = table(spark, sf_dir, "pages", "page_id", "url").select("page_id", F.lower(F.regexp_extract("url", r"[^/]\.([a-z0-9]+)$", 1)).alias("extension"))
+    return names.join(F.broadcast(R.kinds(spark)), "extension").select("page_id", "kind", "output")  # a fixed table of some 40 rows
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'NO_INPUTS' WHEN page_id % 11 = 0 THEN 'INPUT_NOT_FOUND' WHEN strlen(html) > 2097152 AND page_id % 3 = 0 THEN 'INPUT_TOO_LARGE'
+WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN 'UNSUPPORTED_FORMAT' WHEN page_id % 7 = 0 THEN 'INVALID_PAGES' WHEN page_id % 2 = 0 THEN 'OUTPUT_PATH_NOT_ALLOWED' END AS error_code FROM pages""")
+def request_validation(spark, sf_dir):
+    """A request per page: some without inputs, some missing, with a wrong extension, pages or output folder."""
+    i = F.col("page_id")
+    path = F.concat(F.lit("/in/"), i.cast("string"), F.when(i % 3 == 0, ".svg").when(i % 3 == 1, ".txt").otherwise(".PDF"))
+    inputs = F.when(i % 5 != 0, F.array(F.struct(path.alias("path"), F.octet_length("html").cast("long").alias("size"), (i % 11 != 0).alias("is_file"))))
+    options = F.struct(F.lit(None).cast("string").alias("image_format"), F.lit(None).cast("int").alias("dpi"), F.when(i % 7 == 0, "3-1").otherwise("All").alias("pages"), F.lit(None).cast("int").alias("jpg_quality"), F.lit(False).alias("merge_images"))
+    folder = F.when((i % 2 == 0) & (i % 3 == 2), F.struct(F.lit("/usr/share").alias("path"), F.lit(True).alias("is_dir")))
+    kind = F.when(i % 3 == 0, "svg_to_pdf").otherwise("pdf_to_txt")
+    options = options.withField("pages", F.when(i % 3 == 2, options["pages"]).otherwise(F.lit(None)))
+    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", R.request_error(kind, inputs, options, folder).alias("error_code"))
+
+
+_JOB = """e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS arrival, event_id AS seq, CAST(event_id % 4 AS INTEGER) AS completed,
+ CASE WHEN event_id % 13 = 0 THEN 'queued' WHEN event_id % 97 = 0 THEN 'cancelled' WHEN event_id % 4 = 0 OR event_id % 5 < 2 THEN 'running' WHEN event_id % 5 < 4 THEN 'succeeded' ELSE 'failed' END AS state, CASE event_id % 3 WHEN 0 THEN 'reading' WHEN 1 THEN 'extracting' ELSE 'writing' END AS phase FROM events),
+a AS (SELECT *, max(seq) OVER (PARTITION BY user_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e),
+k AS (SELECT * FROM a WHERE last IS NULL OR seq > last),
+d AS (SELECT user_id, min(seq) FILTER (state = 'cancelled' OR state IN ('succeeded', 'failed') AND completed >= 3) AS stop FROM k GROUP BY user_id),
+f AS (SELECT user_id, pos FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (VALUES (0), (1), (2)) t(pos)),
+t AS (SELECT f.user_id, pos, seq, CASE WHEN state = 'queued' THEN 'queued' WHEN state IN ('succeeded', 'failed') AND pos = completed - 1 THEN state WHEN state = 'cancelled' AND pos >= completed THEN state WHEN state = 'running' AND pos = completed THEN state END AS told,
+ CASE WHEN state = 'succeeded' THEN 100 WHEN state = 'running' THEN CASE phase WHEN 'reading' THEN 12 WHEN 'extracting' THEN 58 ELSE 86 END ELSE 0 END AS share FROM f JOIN k USING (user_id) JOIN d USING (user_id) WHERE stop IS NULL OR seq <= stop),
+l AS (SELECT user_id, pos, max_by(told, seq) AS told, max_by(share, seq) AS share FROM t WHERE told IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_JOB} SELECT CAST(f.user_id AS VARCHAR) AS job_id, 'file' || pos AS file_id, coalesce(told, 'running') AS state, coalesce(share, 8) AS progress FROM f LEFT JOIN l USING (user_id, pos)")
+def progress_projection(spark, sf_dir):
+    """A job of three files per user, told by the user's events in the order of (value, event_id)."""
+    n = F.col("event_id")
+    state = F.when(n % 13 == 0, "queued").when(n % 97 == 0, "cancelled").when((n % 4 == 0) | (n % 5 < 2), "running").when(n % 5 < 4, "succeeded").otherwise("failed")
+    phase = F.when(n % 3 == 0, "reading").when(n % 3 == 1, "extracting").otherwise("writing")
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "value")
+    events = rows.select(F.col("user_id").cast("string").alias("job_id"), "value", n.alias("seq"), state.alias("state"), (n % 4).cast("int").alias("completed"), F.lit(3).alias("total"), phase.alias("phase"))
+    jobs = rows.select(F.col("user_id").cast("string").alias("job_id")).distinct().select("job_id", F.array(*[F.lit(f"file{i}") for i in range(3)]).alias("submitted_ids"), F.lit(False).alias("merged"))
+    return J.projected_files(jobs, events, ["value", "seq"])
+
+
+@query(f"""WITH {_LINES}, m AS (SELECT doc_id, pos, length(line) % 3 * 0.3 AS dy FROM laid), y AS (SELECT doc_id, pos, round(sum(dy) OVER (PARTITION BY doc_id, pos // 55 ORDER BY pos), 3) AS y, pos // 55 AS page FROM m)
+SELECT doc_id, pos AS at, y, coalesce(abs(y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY pos)) > 0.5, false) AS breaks FROM y""")
+def baseline_breaks(spark, sf_dir):
+    """Lines of a page whose moves come from their lengths: which of them stand on another baseline."""
+    lines = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(X.wrapped_lines(F.col("text"))).alias("at", "line"))
+    moves = lines.select("doc_id", F.col("at").cast("long").alias("at"), F.floor(F.col("at") / X.PAGE_LINES).alias("page"), (F.char_length("line") % 3 * 0.3).cast("double").alias("dy"))
+    return A.baseline_breaks(moves, ["doc_id", "page"], "at", "dy").select("doc_id", "at", F.round("y", 3).alias("y"), "breaks")

@@ -202,11 +202,11 @@ class _Page:
     def _list(self, lines: list[str], i: int, depth: int, out: list[str]) -> int:
         first = self._item(lines[i].expandtabs(4))
         kind = first[2][-1]
-        items, loose, blank = [], False, False
+        items, loose, blank, width = [], False, False, 0
         while i < len(lines):
             line = lines[i].expandtabs(4)
             m = self._item(line)
-            if m and m[2][-1] == kind and not re.match(r" {0,3}([-*_])(?:\s*\1){2,}\s*$", line):
+            if m and m[2][-1] == kind and not (items and line.startswith(" " * width)) and not re.match(r" {0,3}([-*_])(?:\s*\1){2,}\s*$", line):
                 loose |= blank
                 width = len(m[1]) + len(m[2]) + (len(m[3]) if 0 < len(m[3]) <= 4 and line.strip() != m[2] else 1)
                 items.append([line[width:]])

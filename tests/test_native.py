@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as X
 from leafmill.operators import audit as A
 from leafmill.plans import registry
-from leafmill.sources import docx
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -51,12 +50,6 @@ def test_stale_events(spark):
     assert sorted(r.seq for r in A.drop_stale(df, "job", "seq", ["at"]).collect()) == [1, 3, 4]
 
 
-def test_docx_round_trip():
-    for p in (["a\nb", "", "x & <y>\t"], ["one"], [""]):
-        assert docx.read_docx(docx.write_docx(p)) == (p, None)
-    assert docx.read_docx(b"no zip") == (None, "CORRUPTED_DOCX")
-
-
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
     c = duckdb.connect()
