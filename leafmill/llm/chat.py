@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 
 
+def plain(text: Column) -> Column:
+    """Text whose ``<|`` cannot be read as a mark: a word joiner parts the two characters."""
+    return F.replace(text, F.lit("<|"), F.lit("<\u2060|"))
+
+
 def preference_segments(turns: DataFrame) -> DataFrame:
     """The turns of chosen and rejected conversations, split into prompt and completions.
 
     ``turns`` has pair_id, side ('chosen' or 'rejected'), turn, role, text. Result:
-    pair_id, part ('prompt', 'chosen', 'rejected'), turn, seg (rendered turn) and loss
-    (1 on assistant turns of a completion, else 0). The prompt is the longest prefix of
+    pair_id, part ('prompt', 'chosen', 'rejected'), turn, seg (rendered turn), head (characters of its role line) and loss
+    (1 on assistant turns of a completion, else 0). Marks inside roles and texts are made plain, so that no turn can pretend to be another. The prompt is the longest prefix of
     turns that both sides share; it appears once, from the chosen side.
 
     The prefix length is an aggregate of per-turn comparisons: (pair, turn) groups
@@ -40,7 +45,8 @@ def preference_segments(turns: DataFrame) -> DataFrame:
     long = cut.select("pair_id", "turn", F.inline(parts)).select("pair_id", "turn", "part", F.posexplode("msgs").alias("at", "msg"))
     return long.select(
         "pair_id", "part", "turn", "at",
-        F.concat(F.lit("<|"), F.col("msg.role"), F.lit("|>\n"), F.col("msg.text"), F.lit(CLOSE)).alias("seg"),
+        F.concat(F.lit("<|"), plain(F.col("msg.role")), F.lit("|>\n"), plain(F.col("msg.text")), F.lit(CLOSE)).alias("seg"),
+        (F.char_length(plain(F.col("msg.role"))) + 5).alias("head"),
         ((F.col("part") != "prompt") & (F.col("msg.role") == "assistant")).cast("int").alias("loss"),
     )
 
@@ -49,19 +55,20 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     """One row per pair: prompt, prompt_turns, chosen, rejected and their loss masks.
 
     A mask is a list of character spans 'start-end' (end exclusive, comma-separated) of
-    the completion that the loss counts: its assistant turns. A pair is one training
+    the completion that the loss counts: what its assistant turns say and their end marks, not the role lines.
+    Conversations that are equal are a prompt with two empty completions. Long texts stay whole; other columns are ignored. A pair is one training
     sample, so its turns meet in one row; everything before works turn by turn. A pair
     with one side has an empty completion on the other; an empty table gives no rows.
     """
     segs = preference_segments(turns)
-    per_part = segs.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "at", "seg", "loss"))).alias("segs"), F.countDistinct("turn").alias("n"))
+    per_part = segs.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "at", "seg", "head", "loss"))).alias("segs"), F.countDistinct("turn").alias("n"))
     text = F.array_join(F.transform("segs", lambda s: s["seg"]), "")
     spans = F.aggregate(
         "segs",
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.struct(
             (acc["at"] + F.char_length(s["seg"])).alias("at"),
-            F.when(s["loss"] == 1, F.concat(acc["out"], F.array(F.concat(acc["at"].cast("string"), F.lit("-"), (acc["at"] + F.char_length(s["seg"])).cast("string"))))).otherwise(acc["out"]).alias("out"),
+            F.when(s["loss"] == 1, F.concat(acc["out"], F.array(F.concat((acc["at"] + s["head"]).cast("string"), F.lit("-"), (acc["at"] + F.char_length(s["seg"])).cast("string"))))).otherwise(acc["out"]).alias("out"),
         ),
         lambda acc: F.array_join(acc["out"], ","),
     )
@@ -81,10 +88,10 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 
 
 def op10_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) of the whole table are a pair."""
+    """Conversations 2k (chosen) and 2k + 1 (rejected) of the whole table are a pair; rows without conv_id are of none."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     sides = rows.select(
-        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"),
+        F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"),
         F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"),
         F.col("turn").cast("long").alias("turn"), "role", "text",
     )
@@ -93,7 +100,7 @@ def op10_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH t AS (
-  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn,
+  SELECT CAST(conv_id AS BIGINT) >> 1 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn,
          coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 m AS (
@@ -107,14 +114,15 @@ s AS (
   UNION ALL SELECT m.pair_id, 'chosen', turn, unnest(chosen) FROM m JOIN c USING (pair_id) WHERE turn >= cut
   UNION ALL SELECT m.pair_id, 'rejected', turn, unnest(rejected) FROM m JOIN c USING (pair_id) WHERE turn >= cut),
 r AS (
-  SELECT pair_id, part, turn, '<|' || msg.role || '|>' || chr(10) || msg.text || '<|end|>' || chr(10) AS seg,
+  SELECT pair_id, part, turn, '<|' || replace(msg.role, '<|', '<' || chr(8288) || '|') || '|>' || chr(10) || replace(msg.text, '<|', '<' || chr(8288) || '|') || '<|end|>' || chr(10) AS seg,
+         length(replace(msg.role, '<|', '<' || chr(8288) || '|')) + 5 AS head,
          part <> 'prompt' AND msg.role = 'assistant' AS loss, msg
   FROM s),
 p AS (
   SELECT *, sum(length(seg)) OVER (PARTITION BY pair_id, part ORDER BY turn, msg.role, msg.text ROWS UNBOUNDED PRECEDING) AS till FROM r),
 g AS (
   SELECT pair_id, part, string_agg(seg, '' ORDER BY turn, msg.role, msg.text) AS text, count(DISTINCT turn) AS n,
-         string_agg(CAST(till - length(seg) AS VARCHAR) || '-' || CAST(till AS VARCHAR), ',' ORDER BY till) FILTER (loss) AS mask
+         string_agg(CAST(till - length(seg) + head AS VARCHAR) || '-' || CAST(till AS VARCHAR), ',' ORDER BY till) FILTER (loss) AS mask
   FROM p GROUP BY pair_id, part)
 SELECT pair_id,
        coalesce(max(text) FILTER (part = 'prompt'), '') AS prompt, coalesce(max(n) FILTER (part = 'prompt'), 0) AS prompt_turns,

@@ -67,14 +67,27 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of equal texts the largest id's, once."""
-    stay = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    tagged = docs.withColumn("_sha_of", F.sha2(fold_case(F.col(text_col)), 256))
-    hit = tagged[id_col].cast("long").eqNullSafe(stay["_id"]) & (tagged["_sha_of"] == stay["_sha"])
-    return tagged.join(stay, hit, "left_semi").dropDuplicates([id_col, "_sha_of"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, unchanged: of equal texts the largest id's, once.
+
+    The radix groups decide. Ids that stand on one row (nearly all) are joined by the id alone; texts are
+    hashed again only for ids that several rows share, if there are any. Nulls, long texts and empty tables are
+    as in ``exact_duplicates``: a row without id stays only in a group without any id. Other columns are kept, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, "keep")
+    found = exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_keep_id"), F.col("kept").alias("_keep"), F.col("text_sha256").alias("_keep_sha"))
+    ids = scratch.save(found.groupBy("_keep_id").agg(F.count(F.lit(1)).alias("_keep_rows"), F.collect_set(F.when(F.col("_keep"), F.col("_keep_sha"))).alias("_keep_shas")), "ids")
+    own = docs[id_col].cast("long")
+    out = docs.join(ids.where("_keep_rows = 1 and size(_keep_shas) = 1").select("_keep_id"), own.eqNullSafe(F.col("_keep_id")), "left_semi")
+    shared = ids.where("_keep_rows > 1 and size(_keep_shas) > 0").select("_keep_id", F.explode("_keep_shas").alias("_keep_sha"))
+    if shared.isEmpty():
+        return out
+    digest = F.sha2(fold_case(F.col(text_col)), 256)
+    more = docs.withColumn("_keep_of", digest).join(shared, own.eqNullSafe(F.col("_keep_id")) & (F.col("_keep_of") == F.col("_keep_sha")), "left_semi")
+    return out.unionByName(more.dropDuplicates([id_col, "_keep_of"]).select(*docs.columns))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ``documents`` table."""
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

@@ -498,9 +498,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
-    """Buckets one after another, in even partitions: a hash would put several into one."""
-    parts = min(buckets, 4096)
-    return rows.repartitionById(parts, F.pmod("b", F.lit(parts)).cast("int")).sortWithinPartitions("b")
+    """A partition a bucket: a hash would put several into one. Their number grows with the text."""
+    return rows.repartitionById(buckets, F.col("b").cast("int")).sortWithinPartitions("b")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,27 +28,38 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _delete_at_exit(spark: SparkSession, base: str) -> None:
+    """Results read their tables lazily, so these stay until the driver ends."""
+    try:
+        if not spark.sparkContext._jsc.sc().isStopped():
+            _delete(spark, base)
+    except Exception:  # the session is gone, and with it the way to the folder
+        return
+
+
 class Scratch:
-    """Written tables of one operator call; intermediate ones can be dropped early."""
+    """Written tables of one operator call; intermediate ones can be dropped early, all go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        atexit.register(_delete_at_exit, spark, self.base)
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         self._n += 1
         path = f"{self.base}/{self._n:03d}-{tag}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, df._scratch_path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,11 @@ class Items:
         seeds, item, at = (np.concatenate([none, *x]) for x in (seeds, item, at))
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.item, self.at = seeds[order], item[order].astype(np.int64), at[order].astype(np.int64)
+        self.own = []  # per item its sorted seeds and their positions
+        for i, w in enumerate(self.words):
+            h = rolling(w, self.reach(i))
+            by = np.argsort(h, kind="stable")
+            self.own.append((h[by], by))
         self.reaches = sorted({self.reach(i) for i in range(len(ids)) if self.lengths[i]})
 
     def reach(self, i: int) -> int:
@@ -55,74 +61,100 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
     return T.mix(out ^ np.uint64(width))
 
 
-def tile(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], least: int) -> np.ndarray:
-    """Mask of the words of ``item`` covered by greedy string tiling against ``doc``.
+#: Seed matches of one pair that are looked at together.
+_HITS = 1 << 20
+
 
-    ``hits`` are the seed matches (position in doc, position in item), all of them.
-    Again and again the longest match whose words are unmarked on both sides is marked,
-    until none of ``least`` words is left; ties go to the earliest in the item, then
-    in the doc. Matches start at seeds, as every match of ``least`` words does; words
-    are compared, not only fingerprints.
+def matches(doc: np.ndarray, item: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, position in item, position in doc) of the maximal matches that hold a seed.
+
+    ``at`` are seed positions of the doc; ``place[low[i] : high[i]]`` the item's positions with the seed of ``at[i]``. Seeds that
+    follow one another on a diagonal are one match. They are taken in runs of about ``_HITS``, so that the memory
+    grows with the matches of a pair (at most one a diagonal and break), not with its seeds.
+    """
+    count = high - low
+    ends = np.cumsum(count)
+    begin, p_all, q_all, n_all = 0, [], [], []
+    while begin < len(at):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _HITS, "right")))
+        n = count[begin:stop]
+        p = np.repeat(at[begin:stop], n)
+        q = place[np.repeat(low[begin:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        same = np.ones(len(p), bool)
+        for j in range(least):  # words are compared, not only fingerprints
+            same &= doc[p + j] == item[q + j]
+        p, q = p[same], q[same]
+        by = np.lexsort((p, p - q))
+        p, q = p[by], q[by]
+        fresh = np.concatenate(([True], (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)))[: len(p)]
+        first = np.flatnonzero(fresh)
+        p_all.append(p[first])
+        q_all.append(q[first])
+        n_all.append(np.diff(np.append(first, len(p))))
+        begin = stop
+    p, q, n = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (p_all, q_all, n_all))
+    by = np.lexsort((p, p - q))  # matches that a cut between two runs of seeds has parted
+    p, q, n = p[by], q[by], n[by]
+    if not len(p):
+        return n, q, p
+    fresh = np.concatenate(([True], (p[1:] != p[:-1] + n[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1])))
+    first = np.flatnonzero(fresh)
+    return np.add.reduceat(n, first) + least - 1, q[first], p[first]
+
+
+def tile(doc_words: int, item_words: int, found: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> np.ndarray:
+    """Mask of the item's words covered by greedy string tiling.
+
+    Again and again the longest match whose words are unmarked on both sides is marked, until none of
+    ``least`` words is left; ties go to the earliest in the item, then in the doc. A match that tiles have cut
+    goes back to the queue as its unmarked stretches, which are shorter.
     """
-    in_doc, in_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
-    hits = set(hits)
-    # Only the first seed of a diagonal run starts a maximal match.
-    starts = {(p, q) for p, q in hits if (p - 1, q - 1) not in hits}
-
-    def extents(p: int, q: int) -> list[tuple[int, int, int]]:
-        """Unmarked stretches of the match that starts at (p, q)."""
-        n = min(len(doc) - p, len(item) - q)
-        differ = np.flatnonzero(doc[p : p + n] != item[q : q + n])
-        n = int(differ[0]) if len(differ) else n
-        blocked = np.concatenate(([-1], np.flatnonzero(in_doc[p : p + n] | in_item[q : q + n]), [n]))
-        return [(int(b - a - 1), q + int(a) + 1, p + int(a) + 1) for a, b in zip(blocked[:-1], blocked[1:], strict=True) if b - a - 1 >= least]
-
-    queue = sorted((x for p, q in starts for x in extents(p, q)), key=lambda x: (-x[0], x[1], x[2]))
+    in_doc, in_item = np.zeros(doc_words, bool), np.zeros(item_words, bool)
+    queue = [(-n, q, p) for n, q, p in zip(*(x.tolist() for x in found), strict=True)]
+    heapq.heapify(queue)
     while queue:
-        n, q, p = queue[0]
-        if in_doc[p : p + n].any() or in_item[q : q + n].any():
-            rest = [y for m, b, a in queue for y in (_clear(m, b, a, in_doc, in_item, least))]
-            queue = sorted(set(rest), key=lambda x: (-x[0], x[1], x[2]))
+        n, q, p = heapq.heappop(queue)
+        marked = in_doc[p : p - n] | in_item[q : q - n]
+        if not marked.any():
+            in_doc[p : p - n] = in_item[q : q - n] = True
             continue
-        in_doc[p : p + n] = True
-        in_item[q : q + n] = True
-        queue.pop(0)
+        edges = np.concatenate(([-1], np.flatnonzero(marked), [-n]))
+        for i in np.flatnonzero(np.diff(edges) > least):
+            a = int(edges[i]) + 1
+            heapq.heappush(queue, (a - int(edges[i + 1]), q + a, p + a))
     return in_item
 
 
-def _clear(n: int, q: int, p: int, in_doc: np.ndarray, in_item: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    blocked = np.concatenate(([-1], np.flatnonzero(in_doc[p : p + n] | in_item[q : q + n]), [n]))
-    for a, b in zip(blocked[:-1], blocked[1:], strict=True):
-        if b - a - 1 >= least:
-            yield int(b - a - 1), q + int(a) + 1, p + int(a) + 1
-
-
 def score(doc: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
     """(item index, words covered, seeds hit) of every item that shares a seed with the text."""
-    found: dict[int, list[tuple[int, int]]] = {}
+    out = []
     for width in items.reaches:
         h = rolling(doc, width)
-        lo = np.searchsorted(items.seeds, h, "left")
-        hit = np.flatnonzero((lo < len(items.seeds)) & (items.seeds[np.minimum(lo, len(items.seeds) - 1)] == h)) if len(h) else []
-        for p in hit:
-            k = lo[p]
-            while k < len(items.seeds) and items.seeds[k] == h[p]:
-                i = int(items.item[k])
-                if items.reach(i) == width:
-                    found.setdefault(i, []).append((int(p), int(items.at[k])))
-                k += 1
-    out = []
-    for i, hits in found.items():
-        width = items.reach(i)
-        # Words under any seed bound what tiles can cover: an exact way to leave hopeless pairs.
-        under = np.zeros(int(items.lengths[i]) + 1, np.int64)
-        for q in {q for _, q in hits}:
-            under[q] += 1
-            under[min(q + width, len(under) - 1)] -= 1
-        bound = int((np.cumsum(under)[:-1] > 0).sum())
-        if bound < items.threshold * items.lengths[i]:
+        if not len(h) or not len(items.seeds):
             continue
-        out.append((i, int(tile(doc, items.words[i], hits, width).sum()), len(hits)))
+        lo, hi = np.searchsorted(items.seeds, h, "left"), np.searchsorted(items.seeds, h, "right")
+        # The distinct (item, seed) groups that the text meets, then the text's positions of each item.
+        met = np.unique(lo[hi > lo])
+        owners = np.unique(np.concatenate([np.zeros(0, np.int64), *(items.item[a : np.searchsorted(items.seeds, items.seeds[a], "right")] for a in met)]))
+        for i in owners:
+            i = int(i)
+            if items.reach(i) != width:
+                continue
+            seeds, place = items.own[i]
+            low, high = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
+            hit = np.flatnonzero(high > low)
+            # Words under any seed bound what tiles can cover: an exact way to leave hopeless pairs.
+            under = np.zeros(int(items.lengths[i]) + 1, np.int64)
+            edge = np.zeros(len(seeds) + 1, np.int64)
+            np.add.at(edge, low[hit], 1)
+            np.add.at(edge, high[hit], -1)
+            q = place[np.cumsum(edge)[:-1] > 0]
+            np.add.at(under, q, 1)
+            np.add.at(under, np.minimum(q + width, len(under) - 1), -1)
+            if int((np.cumsum(under)[:-1] > 0).sum()) < items.threshold * items.lengths[i]:
+                continue
+            found = matches(doc, items.words[i], hit, low[hit], high[hit], place, width)
+            out.append((i, int(tile(len(doc), len(items.words[i]), found, width).sum()), int((high - low).sum())))
     return out
 
 
@@ -192,7 +224,7 @@ def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list,
     for row in items.toLocalIterator():
         ids.append(row.item_id)
         texts.append(row.text)
-        size += 4 * len(row.text)
+        size += len(row.text.encode())
         if size >= block_bytes:
             yield ids, texts
             ids, texts, size = [], [], 0
