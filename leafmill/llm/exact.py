@@ -77,13 +77,15 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_keep_id"), F.col("kept").alias("_keep"), F.col("text_sha256").alias("_keep_sha"))
     ids = scratch.save(found.groupBy("_keep_id").agg(F.count(F.lit(1)).alias("_keep_rows"), F.collect_set(F.when(F.col("_keep"), F.col("_keep_sha"))).alias("_keep_shas")), "ids")
     own = docs[id_col].cast("long")
-    out = docs.join(ids.where("_keep_rows = 1 and size(_keep_shas) = 1").select("_keep_id"), own.eqNullSafe(F.col("_keep_id")), "left_semi")
+    alone = ids.where("_keep_rows = 1 and size(_keep_shas) = 1").select("_keep_id")
+    out = docs.join(alone, own.eqNullSafe(alone["_keep_id"]), "left_semi")
     shared = ids.where("_keep_rows > 1 and size(_keep_shas) > 0").select("_keep_id", F.explode("_keep_shas").alias("_keep_sha"))
     if shared.isEmpty():
         return out
     digest = F.sha2(fold_case(F.col(text_col)), 256)
-    more = docs.withColumn("_keep_of", digest).join(shared, own.eqNullSafe(F.col("_keep_id")) & (F.col("_keep_of") == F.col("_keep_sha")), "left_semi")
-    return out.unionByName(more.dropDuplicates([id_col, "_keep_of"]).select(*docs.columns))
+    more = docs.join(shared, own.eqNullSafe(shared["_keep_id"]) & (digest == shared["_keep_sha"]), "left_semi")
+    once = more.groupBy(own.alias("_id"), digest.alias("_sha")).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return out.unionByName(once.select("_row.*"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

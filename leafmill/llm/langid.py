@@ -7,15 +7,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .toxicity import fold
 
 ORDER = 4
-#: Bounds of the labelled sample: texts per language, and bytes of one text.
-SAMPLE_TEXTS, SAMPLE_TEXT_BYTES = 1000, 16384
+#: Bounds of the labelled sample: texts per language, and bytes of a language's whole texts together.
+SAMPLE_TEXTS, SAMPLE_BYTES = 1000, 16 << 20
+#: Letters of a model have 16 bits; of more, the most frequent of the sample count, others are one unknown letter.
+MAX_LETTERS = (1 << 16) - 2
 _MASK = np.uint64((1 << 16) - 1)
 
 
@@ -67,7 +68,10 @@ class Model:
     def __init__(self, langs: list[str], streams: list[np.ndarray], order: int = ORDER):
         self.langs, self.order = langs, order
         self.limits = np.full(len(langs), np.inf)
-        used = np.unique(np.concatenate([np.zeros(1, np.uint32), *streams]))[: (1 << 16) - 2]
+        used, times = np.unique(np.concatenate([np.zeros(1, np.uint32), *streams]), return_counts=True)
+        if len(used) > MAX_LETTERS:
+            times[0] = times.max() + 1  # the gap stays
+            used = np.sort(used[np.argsort(-times, kind="stable")[:MAX_LETTERS]])
         self.alphabet = used
         grams = []  # per language and order: keys, counts
         for s in streams:
@@ -176,20 +180,21 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == h if len(table) else np.zeros(len(keys), bool)
 
 
-def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_text_bytes: int = SAMPLE_TEXT_BYTES) -> Model:
+def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on texts of known language outside fold 2 of 4, at most ``sample_texts`` a language.
 
-    The sample has the smallest hashed ids of each language among texts of at most
-    ``sample_text_bytes``; tasks pre-limit each language before the shuffle. One text in
+    The sample has the smallest hashed ids of each language, with at most ``sample_bytes`` of whole texts (or
+    one text); it is found without ranking whole languages. One text in
     ten (fold 0 of 10) sets the rejection limit of its language: the cross-entropy that
-    99.5 % of them do not exceed under a model fitted without them, plus a tenth.
+    99.5 % of them do not exceed under a model fitted without them, plus a tenth. Null ids, texts and languages
+    are left out; repeated rows of an id count once a language; without any text no language is learned.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang"))
-    rows = rows.where("_lang is not null and _text is not null").where(F.octet_length("_text") <= sample_text_bytes).where(fold(F.col("_id"), 4) != 2)
-    ranked = rows.select("_id", "_lang").withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")))
-    chosen = ranked.where(F.col("_rank") <= sample_texts).select("_id", "_lang").distinct()
+    rows = rows.where("_id is not null and _lang is not null and _text is not null").where(T.fold(F.col("_id"), 4) != 2)
+    sizes = rows.select("_id", "_lang", F.octet_length("_text").cast("long").alias("_size"))
+    chosen = T.bounded_sample(sizes, "_id", "_size", "_lang", sample_texts, sample_bytes).select("_id", "_lang").distinct()
     # At most sample_texts ids a language are broadcast.
-    sample = rows.join(F.broadcast(chosen), ["_id", "_lang"]).select("_id", "_lang", "_text", (fold(F.col("_id"), 10) == 0).alias("_check")).toPandas()
+    sample = rows.join(F.broadcast(chosen), ["_id", "_lang"]).select("_id", "_lang", "_text", (T.fold(F.col("_id"), 10) == 0).alias("_check")).dropDuplicates(["_id", "_lang", "_text"]).toPandas()
     sample = sample.sort_values(["_lang", "_id", "_text"])
     langs = sorted(sample["_lang"].unique())
 
@@ -231,9 +236,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pred, pa.string()), pa.array(score), pa.array(bits, from_pandas=True), pa.array(reject, pa.bool_())], ["doc_id", "lang_pred", "score", "bits_per_symbol", "rejected"])
 
     out = rows.mapInArrow(batches, "doc_id long, lang_pred string, score double, bits_per_symbol double, rejected boolean")
-    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "bits_per_symbol", "rejected")
+    return out.select("doc_id", F.coalesce(T.fold(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "bits_per_symbol", "rejected")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ``documents`` table, by models of its rows outside fold 2 of 4."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return identify(docs, train(docs))

@@ -1,6 +1,6 @@
-"""Vectorised text primitives over Arrow string columns (numpy, no Spark).
+"""Vectorised text primitives over Arrow string columns (numpy), and the bounded sample that models are fitted on.
 
-Every function works on whole texts; temporaries are bounded by ``CHUNK`` bytes
+Every text primitive works on whole texts; temporaries are bounded by ``CHUNK`` bytes
 of text (or one word, if a word is longer), not by the batch.
 """
 
@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 CHUNK = 1 << 18
@@ -141,3 +143,26 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.
         parts.append(x)
         sizes[i + 1] = len(x)
     return (np.concatenate(parts) if parts else np.zeros(0, U64)), np.cumsum(sizes)
+
+
+def bounded_sample(rows: DataFrame, id_col: str, size_col: str, group: str | None, most_rows: int, most_bytes: int) -> DataFrame:
+    """The rows of the smallest hashed ids: at most ``most_rows`` a group and ``most_bytes`` of text (or one row).
+
+    A first pass counts the groups, with map-side sums. Of a large group only ids under a hash bound that lets about one and a
+    half times the wanted rows pass are ranked, so that no task ranks a group that grows with the data.
+    """
+    own = group or "_all"
+    rows = rows if group else rows.withColumn("_all", F.lit(0))
+    counts = rows.groupBy(own).agg(F.count(F.lit(1)).alias("_n"))
+    hashed = F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) / float(1 << 40)
+    near = rows.join(F.broadcast(counts), own).where(hashed * F.col("_n") < 1.5 * most_rows + 50)  # a row a group: languages, or one
+    order = Window.partitionBy(own).orderBy(F.xxhash64(id_col), id_col, size_col)
+    so_far = F.sum(size_col).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = near.withColumns({"_rank": F.row_number().over(order), "_sum": so_far})
+    kept = ranked.where((F.col("_rank") <= most_rows) & ((F.col("_sum") <= most_bytes) | (F.col("_rank") == 1)))
+    return kept.drop("_n", "_rank", "_sum", *([] if group else ["_all"]))
+
+
+def fold(doc_id: Column, parts: int) -> Column:
+    """crc32 of the id as text, modulo parts."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % parts
