@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 LINE_CHARS, PAGE_LINES, MAX_PAGES, MAX_MARKDOWN = 45, 55, 10_000, 64 << 20
 
 
-def markdown_escape(line: Column) -> Column:
-    """One line with Markdown control characters escaped.
+def markdown_escape(text: Column) -> Column:
+    """Text whose lines have their Markdown control characters escaped.
 
-    Inline controls and ``![`` anywhere; after at most three spaces also ATX heading
+    Inline controls and ``![`` anywhere; after at most three spaces of a line also ATX heading
     marks, list and rule marks, and the period of an ordered-list number. Inline
-    characters go first, so that no inserted backslash is escaped again.
+    characters go first, so that no inserted backslash is escaped again. Only ``\\n`` ends a line; all lines
+    of a text are done by one pass of each pattern.
     """
-    out = F.regexp_replace(line, r"([\\`*_{}\[\]<>|])", r"\\$1")
+    out = F.regexp_replace(text, r"([\\`*_{}\[\]<>|])", r"\\$1")
     out = F.regexp_replace(out, r"!(?=\\\[)", r"\\!")
-    out = F.regexp_replace(out, r"^( {0,3})(#{1,6}(?=\p{IsWhite_Space}|$))", r"$1\\$2")
-    out = F.regexp_replace(out, r"^( {0,3})([+-](?=\p{IsWhite_Space}|$))", r"$1\\$2")
-    out = F.regexp_replace(out, r"^( {0,3})(?=-[- \t]*-[- \t]*-[- \t]*$)", r"$1\\")
-    return F.regexp_replace(out, r"^( {0,3}[0-9]{1,9})\.(?=\p{IsWhite_Space}|$)", r"$1\\.")
+    out = F.regexp_replace(out, r"(?md)^( {0,3})(#{1,6}(?=\p{IsWhite_Space}|$))", r"$1\\$2")
+    out = F.regexp_replace(out, r"(?md)^( {0,3})([+-](?=\p{IsWhite_Space}|$))", r"$1\\$2")
+    out = F.regexp_replace(out, r"(?md)^( {0,3})(?=-[- \t]*-[- \t]*-[- \t]*$)", r"$1\\")
+    return F.regexp_replace(out, r"(?md)^( {0,3}[0-9]{1,9})\.(?=\p{IsWhite_Space}|$)", r"$1\\.")
 
 
 def wrapped_lines(text: Column) -> Column:
@@ -30,27 +31,35 @@ def wrapped_lines(text: Column) -> Column:
 
 
 def page_texts(lines: Column) -> Column:
-    """The lines as pages of 55, each one string: the whole document stays in its row, without a shuffle."""
+    """The lines as pages of 55, each one string. ``lines`` is a plain column: it is read once a page."""
     starts = F.sequence(F.lit(1), F.size(lines), F.lit(PAGE_LINES))
     return F.transform(starts, lambda i: F.array_join(F.slice(lines, i, F.lit(PAGE_LINES)), "\n"))
 
 
+def paged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pages): each document's pages as an array, within its row and without a shuffle.
+
+    The lines are a projection of their own, which the optimizer keeps as they are used several times.
+    """
+    laid = docs.select(F.col(id_col).alias("doc_id"), wrapped_lines(F.col(text_col)).alias("_lines"))
+    return laid.select("doc_id", page_texts(F.col("_lines")).alias("pages"))
+
+
 def paginate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, page_no, line_no, line): tabs to four spaces, 45 characters a line, 55 lines a page."""
     laid = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(wrapped_lines(F.col(text_col))).alias("at", "line"))
     return laid.select("doc_id", (F.floor(F.col("at") / PAGE_LINES) + 1).cast("long").alias("page_no"), (F.pmod("at", F.lit(PAGE_LINES)) + 1).cast("long").alias("line_no"), "line")
 
 
-def escaped_text(text: Column) -> Column:
-    """Every line of a text escaped for Markdown."""
-    return F.array_join(F.transform(F.split(text, "\n", -1), markdown_escape), "\n")
-
+def markdown_documents(pages: DataFrame) -> DataFrame:
+    """(doc_id, markdown, error_code) of (doc_id, pages): pages under their markers, a blank line between.
 
-def markdown_document(pages: Column) -> Column:
-    """Pages under their markers, a blank line between; an empty page is its marker alone. Null over 64 MiB."""
-    marked = F.transform(pages, lambda p, i: F.concat(F.lit("<!-- page: "), (i + 1).cast("string"), F.lit(" -->"), F.when(p == "", "").otherwise(F.concat(F.lit("\n\n"), escaped_text(p)))))
-    out = F.concat(F.array_join(marked, "\n\n"), F.lit("\n"))
-    return F.when(F.octet_length(out) <= MAX_MARKDOWN, out)
+    An empty page is its marker alone. A document over 64 MiB is OUTPUT_SIZE_EXCEEDED.
+    """
+    marked = F.transform("pages", lambda p, i: F.concat(F.lit("<!-- page: "), (i + 1).cast("string"), F.lit(" -->"), F.when(p == "", "").otherwise(F.concat(F.lit("\n\n"), markdown_escape(p)))))
+    whole = pages.select("doc_id", F.concat(F.array_join(marked, "\n\n"), F.lit("\n")).alias("_out"))
+    fits = F.octet_length("_out") <= MAX_MARKDOWN
+    return whole.select("doc_id", F.when(fits, F.col("_out")).alias("markdown"), F.when(~fits, "OUTPUT_SIZE_EXCEEDED").alias("error_code"))
 
 
 _BLANK = r"\p{IsWhite_Space}"

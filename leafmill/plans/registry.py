@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of few files dealt to all cores, for work that costs far more than moving them; many files stay as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 _LINES = """
 lines AS (SELECT doc_id, unnest(str_split(replace(coalesce(text, ''), chr(9), '    '), chr(10))) AS s, generate_subscripts(str_split(replace(coalesce(text, ''), chr(9), '    '), chr(10)), 1) AS ln FROM documents),
 pieces AS (SELECT doc_id, ln, k, substring(s, CAST(k * 45 + 1 AS BIGINT), 45) AS line FROM (SELECT doc_id, ln, s, unnest(range(0, greatest(1, CAST(ceil(length(s) / 45.0) AS BIGINT)))) AS k FROM lines)),
@@ -53,15 +59,14 @@ regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 
 @query(f"WITH {_LINES} SELECT doc_id, pos // 55 + 1 AS page_no, string_agg({_ESCAPED}, chr(10) ORDER BY pos) AS markdown FROM laid GROUP BY 1, 2")
 def markdown_pages(spark, sf_dir):
-    lines = F.transform(X.wrapped_lines(F.col("text")), X.markdown_escape)
-    pages = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(X.page_texts(lines)).alias("at", "markdown"))
-    return pages.select("doc_id", (F.col("at") + 1).cast("long").alias("page_no"), "markdown")
+    pages = X.paged(spread(table(spark, sf_dir, "documents", "doc_id", "text"))).select("doc_id", F.posexplode("pages").alias("at", "page"))
+    return pages.select("doc_id", (F.col("at") + 1).cast("long").alias("page_no"), X.markdown_escape(F.col("page")).alias("markdown"))
 
 
 @query(f"""WITH {_LINES}, p AS (SELECT doc_id, pos // 55 + 1 AS page_no, string_agg({_ESCAPED}, chr(10) ORDER BY pos) AS m, string_agg(line, chr(10) ORDER BY pos) AS raw FROM laid GROUP BY 1, 2)
 SELECT doc_id, string_agg('<!-- page: ' || page_no || ' -->' || CASE WHEN raw = '' THEN '' ELSE chr(10) || chr(10) || m END, chr(10) || chr(10) ORDER BY page_no) || chr(10) AS markdown FROM p GROUP BY doc_id""")
 def markdown_document(spark, sf_dir):
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.markdown_document(X.page_texts(X.wrapped_lines(F.col("text")))).alias("markdown"))
+    return X.markdown_documents(X.paged(spread(table(spark, sf_dir, "documents", "doc_id", "text")))).select("doc_id", "markdown")
 
 
 @query(r"SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[\\`*_{}\[\]<>|]', '', 'g')) AS BIGINT) AS controls FROM documents")
@@ -258,14 +263,13 @@ def code_unit_blocks(spark, sf_dir):
 SELECT doc_id, CASE WHEN sum(shown) > 0 THEN string_agg(coalesce(t, ''), chr(10) || chr(10) ORDER BY page_no) END AS text, CASE WHEN sum(shown) > 0 THEN count(*) END AS page_count, CASE WHEN sum(shown) = 0 THEN 'NO_TEXT_LAYER' END AS error_code FROM p GROUP BY doc_id""")
 def pdf_round_trip(spark, sf_dir):
     """Every document paginated, written as PDF and read back."""
-    pages = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.page_texts(X.wrapped_lines(F.col("text"))).alias("pages"))
+    pages = X.paged(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
     read = pdf.pdf_text(pdf.to_pdf(pages).drop("error_code"))
     return read.select("doc_id", "text", F.col("page_count").cast("long").alias("page_count"), "error_code")
 
 
 def _docx_files(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.page_texts(X.wrapped_lines(F.col("text"))).alias("pages"))
-    return docx.to_docx(pages)
+    return docx.to_docx(X.paged(spread(table(spark, sf_dir, "documents", "doc_id", "text"))))
 
 
 @query(f"""WITH {_LINES}, p AS (SELECT doc_id, pos // 55 + 1 AS page_no, coalesce(rtrim(string_agg(rtrim(line, ' '), chr(10) ORDER BY pos) FILTER (trim(line, ' ') <> '')), '') AS text FROM laid GROUP BY 1, 2),
@@ -347,7 +351,7 @@ def progress_projection(spark, sf_dir):
 
 
 @query(f"""WITH {_LINES}, m AS (SELECT doc_id, pos, length(line) % 3 * 0.3 AS dy FROM laid), y AS (SELECT doc_id, pos, round(sum(dy) OVER (PARTITION BY doc_id, pos // 55 ORDER BY pos), 3) AS y, pos // 55 AS page FROM m)
-SELECT doc_id, pos AS at, y, coalesce(abs(y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY pos)) > 0.5, false) AS breaks FROM y""")
+SELECT doc_id, pos AS at, CAST(y AS DOUBLE) AS y, coalesce(abs(y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY pos)) > 0.5, false) AS breaks FROM y""")
 def baseline_breaks(spark, sf_dir):
     """Lines of a page whose moves come from their lengths: which of them stand on another baseline."""
     lines = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(X.wrapped_lines(F.col("text"))).alias("at", "line"))

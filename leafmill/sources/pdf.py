@@ -457,7 +457,7 @@ class Document:
     def __init__(self, data: bytes):
         if not data.startswith(b"%PDF-"):
             raise _broken()
-        self.data, self.objects, self.root = data, {}, None
+        self.data, self.objects, self.root, self.maps = data, {}, None, {}
         at = _footer(data)
         if at is None:
             self._scan(None)
@@ -708,17 +708,21 @@ class Document:
             obj = self.objects.get(ref.number) if isinstance(ref, Ref) else None
             if obj is None:
                 continue
-            try:
-                stream = decoded(obj)
-            except PdfError as e:
-                if e.args[0] == "PDF_STREAM_TOO_LARGE":
-                    raise
-                continue
-            found = unicode_map(stream)
-            if found:
-                out[name] = found
+            if ref.number not in self.maps:
+                self.maps[ref.number] = self._map(obj)
+            if self.maps[ref.number]:
+                out[name] = self.maps[ref.number]
         return out
 
+    @staticmethod
+    def _map(obj: Object) -> FontMap | None:
+        try:
+            return unicode_map(decoded(obj))
+        except PdfError as e:
+            if e.args[0] == "PDF_STREAM_TOO_LARGE":
+                raise
+            return None
+
 
 def _table_entry(data: bytes, table: int, ref: Ref) -> int:
     """Offset of an object by the table at ``table``."""

@@ -17,6 +17,8 @@ MARKDOWN = [
 
 def test_markdown_escape(spark):
     df = spark.createDataFrame([(a,) for a, _ in MARKDOWN], "line string")
+    whole = spark.createDataFrame([("\n".join(a for a, _ in MARKDOWN),)], "line string").select(X.markdown_escape(F.col("line"))).first()[0]
+    assert whole == "\n".join(b for _, b in MARKDOWN)
     assert [r.e for r in df.select(X.markdown_escape(F.col("line")).alias("e")).collect()] == [b for _, b in MARKDOWN]
 
 
@@ -68,8 +70,8 @@ def one(spark, column, *values):
 
 
 def test_markdown_pages_and_markers(spark):
-    docs = spark.createDataFrame([(["a\n# b", "", "c"],), ([""],)], "p array<string>")
-    assert [r.x for r in docs.select(X.markdown_document(F.col("p")).alias("x")).collect()] == ["<!-- page: 1 -->\n\na\n\\# b\n\n<!-- page: 2 -->\n\n<!-- page: 3 -->\n\nc\n", "<!-- page: 1 -->\n"]
+    docs = spark.createDataFrame([(1, ["a\n# b", "", "c"]), (2, [""])], "doc_id long, pages array<string>")
+    assert [r.markdown for r in X.markdown_documents(docs).collect()] == ["<!-- page: 1 -->\n\na\n\\# b\n\n<!-- page: 2 -->\n\n<!-- page: 3 -->\n\nc\n", "<!-- page: 1 -->\n"]
 
 
 def test_small_rules(spark):
