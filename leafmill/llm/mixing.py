@@ -6,7 +6,6 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,41 +42,58 @@ def _features(docs: DataFrame) -> DataFrame:
 _CELL = ["f_lang", "f_length", "f_word"]
 
 
-def _model(train: DataFrame, domains: list[str]) -> Callable[[DataFrame, list[str]], DataFrame]:
-    """A function that gives rows (with columns to keep) their log-odds below the likeliest domain."""
-    k = range(len(domains))
-    total = {r.domain: r.n for r in train.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per domain
-    every = sum(total.values())
+def _counts(labelled: DataFrame, domains: list[str]) -> DataFrame:
+    """(held, kind, value, n): how many labelled rows or words of each domain have a value; n is an array over the domains.
+
+    Kinds are the features, ``word`` and ``row`` (all rows). One pass over the labelled rows gives the
+    counts of both the model that picks the scale and the last one.
+    """
+    held = (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held")
+    at = (F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1).cast("int").alias("at")
+    marks = [F.struct(F.lit(f).alias("kind"), F.col(f).cast("string").alias("value")) for f in _CELL] + [F.struct(F.lit("row").alias("kind"), F.lit("").alias("value"))]
+    words = F.transform("words", lambda x: F.struct(F.lit("word").alias("kind"), x.cast("string").alias("value")))
+    long = labelled.select(held, at, F.explode(F.concat(F.array(*marks), words)).alias("v")).groupBy("held", "at", "v.kind", "v.value").agg(F.count(F.lit(1)).alias("n"))
+    found = long.groupBy("held", "kind", "value").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("n"))  # at most an entry a domain
+    return found.withColumn("n", F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda i: F.coalesce(F.col("n")[i], F.lit(0).cast("long"))))
 
-    def spread(rows: DataFrame, key: str) -> DataFrame:
-        return rows.groupBy(key).agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)])
 
-    tables = {f: spread(train, f).select(f, F.array(*[F.log((F.col(f"n{i}") + 1.0) / F.lit(total.get(d, 0) + 20.0)) for i, d in enumerate(domains)]).alias("w")) for f in _CELL}
-    counted = spread(train.select("domain", F.explode("words").alias("word")).where("word is not null"), "word")
-    sums = counted.agg(*[F.sum(f"n{i}") for i in k]).first()
-    smooth = [math.log(SMOOTH / ((n or 0) + SMOOTH * WORD_BUCKETS)) for n in sums]
-    by_word = counted.select("word", F.array(*[F.log((F.col(f"n{i}") + SMOOTH) / F.lit(float((sums[i] or 0) + SMOOTH * WORD_BUCKETS))) for i in k]).alias("w"))
+def _model(counts: DataFrame, domains: list[str]) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """A function that gives rows (with columns to keep) their log-odds below the likeliest domain."""
+    k = len(domains)
+    sums = counts.where("kind IN ('row', 'word')").select("kind", F.posexplode("n").alias("i", "n")).groupBy("kind", "i").agg(F.sum("n").alias("n")).collect()  # two rows per domain
+    by_kind = {"row": [0] * k, "word": [0] * k}
+    for r in sums:
+        by_kind[r.kind][r.i] = r.n
+    total, in_words = by_kind["row"], by_kind["word"]
+    every = sum(total)
+    floats = lambda xs: F.expr(f"array({', '.join(f'{float(x)!r}D' for x in xs)})")
+    merged = counts.groupBy("kind", "value", F.lit(0).alias("_one")).agg(F.collect_list("n").alias("n"))  # at most one of each fold
+    merged = merged.select("kind", "value", F.aggregate("n", F.array_repeat(F.lit(0).cast("long"), k), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("n"))
+    tables = {f: merged.where(F.col("kind") == f).select(F.col("value").alias(f"_{f}"), F.zip_with("n", floats(t + 20.0 for t in total), lambda x, t: F.log((x + 1.0) / t)).alias("v")) for f in _CELL}
+    unseen = floats(math.log(1.0 / (t + 20.0)) for t in total)
+    seen = merged.where("kind = 'word'").select(F.col("value").cast("short").alias("word"), "n")
+    spread = counts.sparkSession.range(WORD_BUCKETS).select(F.col("id").cast("short").alias("word")).join(seen, "word", "left")
+    by_word = spread.select("word", F.zip_with(F.coalesce("n", F.array_repeat(F.lit(0).cast("long"), k)), floats(n + SMOOTH * WORD_BUCKETS for n in in_words), lambda x, t: F.log((x + SMOOTH) / t)).alias("w"))
+    prior = floats(math.log((t + 1) / (every + k)) for t in total)
 
     def scored(rows: DataFrame, keep: list[str]) -> DataFrame:
         keys = ["row", *keep, *_CELL]
         one = rows.withColumn("row", F.monotonically_increasing_id()).select(*keys, F.explode_outer("words").alias("word")).join(F.broadcast(by_word), "word", "left")
-        none = [F.when(F.col("word").isNull(), 0.0).otherwise(x) for x in smooth]
-        out = one.groupBy(*keys).agg(*[F.sum(F.coalesce(F.col("w")[i], none[i])).alias(f"l{i}") for i in k])
-        out = out.withColumn("logs", F.array(*[F.col(f"l{i}") + math.log((total.get(d, 0) + 1) / (every + len(domains))) for i, d in enumerate(domains)]))
+        out = one.groupBy(*keys).agg(*[F.expr(f"coalesce(sum(w[{i}]), 0.0D) AS l{i}") for i in range(k)])
+        out = out.withColumn("logs", F.zip_with(F.expr(f"array({', '.join(f'l{i}' for i in range(k))})"), prior, lambda a, b: a + b))
         for f in _CELL:
-            unseen = F.array(*[F.log(F.lit(1.0 / (total.get(d, 0) + 20.0))) for d in domains])
-            out = out.join(F.broadcast(tables[f]), f, "left").withColumn("logs", F.zip_with("logs", F.coalesce("w", unseen), lambda a, b: a + b)).drop("w")
+            out = out.join(F.broadcast(tables[f]), F.col(f).cast("string") == F.col(f"_{f}"), "left").withColumn("logs", F.zip_with("logs", F.coalesce("v", unseen), lambda a, b: a + b)).drop("v", f"_{f}")
         top = F.array_max("logs")
         return out.select(*keep, F.transform("logs", lambda x: x - top).alias("logs"))
 
     return scored
 
 
-def _posteriors(rows: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
+def _posteriors(rows: DataFrame, labelled: DataFrame, counts: DataFrame, domains: list[str]) -> DataFrame:
     """``rows`` with p: the posterior of each domain, by naive Bayes on words and features.
 
-    ``labelled`` has the features, words (hashes) and domain. Its rows give the
-    counts: Laplace-smoothed per feature value and word hash, in tables bounded by the values. The
+    ``labelled`` has the features, words (hashes) and domain, ``counts`` what ``_counts`` makes of it:
+    Laplace-smoothed per feature value and word hash, in tables bounded by the values. The
     log-odds are scaled down, as words are not independent: by the factor of the least log loss
     on one row in five, under a model of the others.
     """
@@ -85,11 +101,11 @@ def _posteriors(rows: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
     scale = 1.0
     own = F.element_at("logs", F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int"))
     loss = [F.sum(F.log(F.aggregate(F.transform("logs", lambda x, c=c: F.exp(x * c)), F.lit(0.0), lambda a, b: a + b)) - own * c) for c in SCALES]
-    losses = _model(labelled.where(~held), domains)(labelled.where(held), ["domain"]).agg(*loss).first()
+    losses = _model(counts.where("not held"), domains)(labelled.where(held), ["domain"]).agg(*loss).first()
     if losses[0] is not None:
         scale = min(zip(losses, SCALES, strict=True))[1]
     raw = F.transform("logs", lambda x: F.exp(x * scale))
-    out = _model(labelled, domains)(rows, ["doc_id", "tokens"]).withColumn("raw", raw)
+    out = _model(counts, domains)(rows, ["doc_id", "tokens"]).withColumn("raw", raw)
     return out.withColumn("p", F.transform("raw", lambda x: x / F.aggregate("raw", F.lit(0.0), lambda a, b: a + b))).drop("logs", "raw")
 
 
@@ -98,12 +114,12 @@ def _weighted(cells: DataFrame, weights: list[float]) -> DataFrame:
 
     The weights come as a row, not as literals, so that each step reuses the compiled code.
     """
-    one = cells.sparkSession.createDataFrame(pa.table({"w": pa.array([[float(w) for w in weights]], pa.list_(pa.float64()))}))
+    one = cells.sparkSession.sql(f"SELECT w FROM VALUES (array({', '.join(f'{float(w)!r}D' for w in weights)})) AS one(w)")
     met = cells.crossJoin(F.broadcast(one))
     if len(weights) > WIDE:
         dot = F.aggregate(F.zip_with("p", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     else:
-        dot = sum((F.col("p")[i] * F.col("w")[i] for i in range(len(weights))), F.lit(0.0))
+        dot = F.expr(" + ".join(f"p[{i}] * w[{i}]" for i in range(len(weights))))
     return met.withColumn("t", F.lit(1.0) + dot).drop("w")
 
 
@@ -118,7 +134,7 @@ def _sums(cells: DataFrame, value: Column, k: int) -> np.ndarray:
         for r in cells.select(F.posexplode(F.transform("p", lambda x: x * value)).alias("d", "x")).groupBy("d").agg(F.sum("x").alias("x")).collect():  # a row per domain
             out[r.d] = r.x or 0.0
         return out
-    row = cells.select(value.alias("m"), "p").agg(*[F.sum(F.col("m") * F.col("p")[i]) for i in range(k)]).first()
+    row = cells.select(value.alias("m"), "p").agg(*[F.expr(f"sum(m * p[{i}])") for i in range(k)]).first()
     return np.array([float(x or 0) for x in row])
 
 
@@ -159,7 +175,8 @@ def mix_and_misses(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     domains = sorted(r.domain for r in labelled.select("domain").distinct().collect())  # a row per domain
     if not domains:
         return rows.select("doc_id", "tokens", F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies")), spark.createDataFrame([], _REPORT)
-    cells = scratch.save(_posteriors(rows, labelled, domains).withColumn("mass", F.col("tokens").cast("double")), "cells")
+    counts = scratch.save(_counts(labelled, domains), "counts")
+    cells = scratch.save(_posteriors(rows, labelled, counts, domains).withColumn("mass", F.col("tokens").cast("double")), "cells")
     start = [float(x) for x in _sums(cells, F.col("mass"), len(domains))]
     shares = targets or {d: t**0.7 for d, t in zip(domains, start, strict=True)}
     share = [max(0.0, shares.get(d, 0.0)) for d in domains]
@@ -191,32 +208,33 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
     k, g = len(goal), np.array(goal, float)
     mass = F.col("mass")
 
-    def measure(w: np.ndarray) -> tuple[float, np.ndarray]:
+    def measure(w: np.ndarray) -> tuple[float, np.ndarray, Callable[[], np.ndarray]]:
+        """The cost, the totals and how they bend at w: one pass over the rows; beyond WIDE domains the bend is one of its own."""
         cost = F.when(F.col("t") > least, F.col("t") * F.col("t") / 2).otherwise(least * F.col("t") - least * least / 2.0)
         at = _weighted(cells, w)
-        # the cost rides along as one more entry
-        all_sums = _sums(at.select(F.lit(1.0).alias("one"), F.concat(F.transform("p", lambda x: x * mass * _rate(least)), F.array(mass * cost)).alias("p")), F.col("one"), k + 1)
-        return float(all_sums[k]), all_sums[:k]
+        if k > WIDE:  # the cost rides along as one more entry
+            all_sums = _sums(at.select(F.lit(1.0).alias("one"), F.concat(F.transform("p", lambda x: x * mass * _rate(least)), F.array(mass * cost)).alias("p")), F.col("one"), k + 1)
+            return float(all_sums[k]), all_sums[:k], lambda: bend(w)
+        live = F.when(F.col("t") > least, mass).otherwise(F.lit(0.0))
+        each = at.select((mass * _rate(least)).alias("m"), (mass * cost).alias("c"), live.alias("live"), "p", F.posexplode("p").alias("i", "x"))
+        got = each.groupBy("i").agg(F.expr("sum(m * x)"), F.expr("sum(c)"), *[F.expr(f"sum(live * x * p[{j}])") for j in range(k)]).collect()  # a row per domain
+        total, sums, pairs = 0.0, np.zeros(k), np.zeros((k, k))
+        for i, s, c, *row in got:
+            total, sums[i], pairs[i] = c, s, row
+        return total, sums, lambda: (pairs + pairs.T) / 2
 
     def bend(w: np.ndarray) -> np.ndarray:
-        at = _weighted(cells, w)
         live = F.when(F.col("t") > least, mass).otherwise(F.lit(0.0))
+        parts = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] > 0)
+        some = _weighted(cells, w).select(live.alias("m"), parts.alias("q")).where("m > 0").select("m", "q", F.explode("q").alias("a")).select("m", "a", F.explode("q").alias("b")).where("a.i <= b.i")
+        met = some.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("m") * F.col("a.x") * F.col("b.x")).alias("x"))
         out = np.zeros((k, k))
-        if k > WIDE:
-            parts = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] > 0)
-            some = at.select(live.alias("m"), parts.alias("q")).where("m > 0").select("m", "q", F.explode("q").alias("a")).select("m", "a", F.explode("q").alias("b")).where("a.i <= b.i")
-            met = some.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("m") * F.col("a.x") * F.col("b.x")).alias("x")).toArrow()  # a row per pair of domains
-            i, j, x = (met.column(c).to_numpy() for c in "ijx")
-            out[i, j] = out[j, i] = x
-            return out
-        pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-        row = at.select(live.alias("m"), "p").agg(*[F.sum(F.col("m") * F.col("p")[i] * F.col("p")[j]) for i, j in pairs]).first()
-        for (i, j), x in zip(pairs, row, strict=True):
-            out[i, j] = out[j, i] = float(x or 0)
+        for r in met.groupBy("i").agg(F.collect_list("j"), F.collect_list("x")).collect():  # a row per domain, an entry per pair
+            out[r[0], r[1]] = out[r[1], r[0]] = r[2]
         return out
 
     w = np.zeros(k)
-    cost, now = measure(w)
+    cost, now, bent = measure(w)
     start = now
     unit = max(float(start.mean()), 1e-300)
     close = lambda n: bool((np.abs(g - n) <= TOLERANCE * np.where(g > 0, g, start)).all())
@@ -229,12 +247,12 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
             if taken >= steps:
                 return list(w), list(now), False
             taken += 1
-            step = np.linalg.solve(bend(w) + penalty * unit * np.eye(k), -slope)
+            step = np.linalg.solve(bent() + penalty * unit * np.eye(k), -slope)
             value = cost - g @ w + penalty * unit * (w @ w) / 2
             size = 1.0
             while True:
                 tried = w + size * step
-                after, then = measure(tried)
+                after, then, bends = measure(tried)
                 if after - g @ tried + penalty * unit * (tried @ tried) / 2 <= value + 1e-4 * size * (slope @ step):
                     break
                 if np.abs(then - g + penalty * unit * tried).max() < 0.5 * np.abs(slope).max():  # where the cost drowns in rounding
@@ -244,7 +262,7 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
                     break
             if size < 1e-6:  # as near as the sums' rounding allows
                 break
-            w, cost, now = tried, after, then
+            w, cost, now, bent = tried, after, then, bends
     return list(w), list(now), True
 
 
