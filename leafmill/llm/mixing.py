@@ -203,7 +203,8 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
     The weights minimise a convex function that is quadratic between the rates' cuts, by
     Newton steps halved until it falls enough. It ends when every domain is within
     TOLERANCE of its own goal, or when the gradient is gone at the last penalty, which is
-    projected-gradient optimality: the goals left are out of reach.
+    projected-gradient optimality: the goals left are out of reach. A search that gets stuck or runs
+    out of steps is not optimal: of all rates seen, the start included, it gives those of the least squared misses.
     """
     k, g = len(goal), np.array(goal, float)
     mass = F.col("mass")
@@ -238,14 +239,15 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
     start = now
     unit = max(float(start.mean()), 1e-300)
     close = lambda n: bool((np.abs(g - n) <= TOLERANCE * np.where(g > 0, g, start)).all())
-    taken = 0
+    taken, settled = 0, True
+    best = (float(((g - now) ** 2).sum()), w, now)
     for penalty in (1e-3, 1e-6, 1e-9):
         while not close(now):
             slope = now - g + penalty * unit * w
             if np.abs(slope).max() <= 1e-6 * np.where(g > 0, g, unit).min():
                 break
             if taken >= steps:
-                return list(w), list(now), False
+                return list(best[1]), list(best[2]), False
             taken += 1
             step = np.linalg.solve(bent() + penalty * unit * np.eye(k), -slope)
             value = cost - g @ w + penalty * unit * (w @ w) / 2
@@ -260,10 +262,16 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
                 size /= 2
                 if size < 1e-6:
                     break
-            if size < 1e-6:  # as near as the sums' rounding allows
+            if size < 1e-6:  # as near as the sums' rounding allows, or stuck
+                settled = bool((np.abs(slope) <= TOLERANCE * np.where(g > 0, g, unit)).all())
                 break
             w, cost, now, bent = tried, after, then, bends
-    return list(w), list(now), True
+            missed = float(((g - now) ** 2).sum())
+            if missed < best[0]:
+                best = (missed, w, now)
+    if settled:
+        return list(w), list(now), True
+    return list(best[1]), list(best[2]), False
 
 
 def mixed_corpus(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
