@@ -13,6 +13,8 @@ from .store import Scratch
 
 #: Guard against a solver that does not end, and the miss, relative to a domain's own goal, that ends it.
 STEPS, TOLERANCE = 200, 1e-3
+#: The penalties on leaving rates of 1, each solved from the rates of the one before.
+PENALTIES = [10.0**-i for i in range(3, 10)]
 #: Hash values of words, the smoothing of their counts, and the factors tried on the log-odds.
 WORD_BUCKETS, SMOOTH = 1 << 12, 0.1
 SCALES = [2.0**-i for i in range(11)]
@@ -199,7 +201,8 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
     """(weights, reached totals, whether they are optimal); a rate is max(least, 1 + p * weights).
 
     Of the rates that minimise the squared misses this finds those nearest to 1: they
-    have that form, with weights proportional to the misses for a penalty that goes to 0.
+    have that form, with weights proportional to the misses for a penalty that goes to 0
+    in steps of ten: far from a solution few rows are above the bound, and a Newton step goes astray.
     The weights minimise a convex function that is quadratic between the rates' cuts, by
     Newton steps halved until it falls enough. It ends when every domain is within
     TOLERANCE of its own goal, or when the gradient is gone at the last penalty, which is
@@ -216,7 +219,7 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
         if k > WIDE:  # the cost rides along as one more entry
             all_sums = _sums(at.select(F.lit(1.0).alias("one"), F.concat(F.transform("p", lambda x: x * mass * _rate(least)), F.array(mass * cost)).alias("p")), F.col("one"), k + 1)
             return float(all_sums[k]), all_sums[:k], lambda: bend(w)
-        live = F.when(F.col("t") > least, mass).otherwise(F.lit(0.0))
+        live = F.when(F.col("t") >= least, mass).otherwise(F.lit(0.0))
         each = at.select((mass * _rate(least)).alias("m"), (mass * cost).alias("c"), live.alias("live"), "p", F.posexplode("p").alias("i", "x"))
         got = each.groupBy("i").agg(F.expr("sum(m * x)"), F.expr("sum(c)"), *[F.expr(f"sum(live * x * p[{j}])") for j in range(k)]).collect()  # a row per domain
         total, sums, pairs = 0.0, np.zeros(k), np.zeros((k, k))
@@ -225,7 +228,7 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
         return total, sums, lambda: (pairs + pairs.T) / 2
 
     def bend(w: np.ndarray) -> np.ndarray:
-        live = F.when(F.col("t") > least, mass).otherwise(F.lit(0.0))
+        live = F.when(F.col("t") >= least, mass).otherwise(F.lit(0.0))
         parts = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] > 0)
         some = _weighted(cells, w).select(live.alias("m"), parts.alias("q")).where("m > 0").select("m", "q", F.explode("q").alias("a")).select("m", "a", F.explode("q").alias("b")).where("a.i <= b.i")
         met = some.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("m") * F.col("a.x") * F.col("b.x")).alias("x"))
@@ -241,7 +244,8 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
     close = lambda n: bool((np.abs(g - n) <= TOLERANCE * np.where(g > 0, g, start)).all())
     taken, settled = 0, True
     best = (float(((g - now) ** 2).sum()), w, now)
-    for penalty in (1e-3, 1e-6, 1e-9):
+    for penalty in PENALTIES:
+        settled = True
         while not close(now):
             slope = now - g + penalty * unit * w
             if np.abs(slope).max() <= 1e-6 * np.where(g > 0, g, unit).min():
