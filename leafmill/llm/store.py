@@ -51,10 +51,10 @@ class Scratch:
         self._n = 0
         atexit.register(_delete_at_exit, spark, self.base)
 
-    def save(self, df: DataFrame, tag: str) -> DataFrame:
+    def save(self, df: DataFrame, tag: str, **options: str | int) -> DataFrame:
         self._n += 1
         path = f"{self.base}/{self._n:03d}-{tag}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
