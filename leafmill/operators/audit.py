@@ -134,6 +134,24 @@ def reserve_names(rows: DataFrame, stem: str, order: str) -> DataFrame:
     return alone.withColumn("_rank", rank).withColumn("reserved", named).select(*names, "reserved").unionByName(families)
 
 
+def numbered_names(rows: DataFrame, stem: str, order: str, block: int = 1 << 16) -> DataFrame:
+    """``rows`` with reserved: ``stem``, ``stem (1)``, ... by a numeric order, without an end; each stem by itself.
+
+    A stem's rows are ranked in ranges of the order of about ``block`` rows of the table, and each range begins where those
+    before it end: no task ranks a whole stem. A null stem gives null; null orders come last.
+    """
+    low, high, n = rows.agg(F.min(order).cast("double"), F.max(order).cast("double"), F.count(order)).first()
+    width = max((high - low) * block / n, 1e-300) if n else 1.0
+    ranged = rows.withColumn("_range", F.coalesce(F.floor((F.col(order).cast("double") - F.lit(low)) / F.lit(width)), F.lit((1 << 63) - 1)))
+    before = Window.partitionBy("_stem").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy(F.col(stem).alias("_stem"), F.col("_range").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    ranges = ranges.select("_stem", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(stem, "_range").orderBy(F.col(order).asc_nulls_last())) - 1
+    placed = ranged.withColumn("_own", own).join(ranges, F.col(stem).eqNullSafe(F.col("_stem")) & (F.col("_range") == F.col("_at")))
+    rank = F.col("_before") + F.col("_own")
+    return placed.select(*rows.columns, F.when(rank == 0, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit(" ("), rank.cast("string"), F.lit(")"))).alias("reserved"))
+
+
 def output_files(stem: Column, extension: Column, count: Column) -> Column:
     """The files of one conversion: ``stem.ext``, or ``stem-001.ext`` and so on for several."""
     several = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.concat(stem, F.lit("-"), F.format_string("%03d", i), F.lit("."), extension))

@@ -108,6 +108,20 @@ def test_names_of_families_and_limits(spark):
     assert files.a == ["s-001.png", "s-002.png"] and files.b == ["s.pdf"]
 
 
+def test_numbered_names_have_no_end_and_equal_the_sql(spark):
+    stems = ["x", "x (1)", None, "y"]
+    rows = [(i * 7 - 50, "z" if i % 3 else stems[i // 3 % 4]) for i in range(2200)] + [(None, "z")]
+    count, want = {}, {}
+    for i, s in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        n = count[s] = count.get(s, -1) + 1
+        want[i] = None if s is None else f"{s} ({n})" if n else s
+    table = spark.createDataFrame(rows, "i long, stem string")
+    for block in (1, 100, 1 << 16):
+        assert {r.i: r.reserved for r in A.numbered_names(table, "stem", "i", block).collect()} == want
+    assert count["z"] > 1000
+    assert A.numbered_names(table.limit(0), "stem", "i").count() == 0
+
+
 def test_audit_gaps_unknowns_and_lists(spark):
     turns = spark.createDataFrame([(1, 0), (1, 1), (1, 3), (2, 1)], "k long, t long")
     assert sorted(map(tuple, A.gap_free_prefix(turns, "k", "t").collect())) == [(1, 0), (1, 1)]
