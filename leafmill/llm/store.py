@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: Off, a write's shuffle files stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,7 +56,12 @@ class Scratch:
     def save(self, df: DataFrame, tag: str, **options: str | int) -> DataFrame:
         self._n += 1
         path = f"{self.base}/{self._n:03d}-{tag}"
-        df.write.options(**options).parquet(path)
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")  # what is written is not read from a shuffle again
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
