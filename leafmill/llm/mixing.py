@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, trim
 
 #: Guard against a solver that does not end, and the miss, relative to a domain's own goal, that ends it.
 STEPS, TOLERANCE = 200, 1e-3
@@ -253,6 +253,7 @@ def _fit(cells: DataFrame, goal: list[float], steps: int, least: float) -> tuple
             if taken >= steps:
                 return list(best[1]), list(best[2]), False
             taken += 1
+            trim(cells.sparkSession)
             step = np.linalg.solve(bent() + penalty * unit * np.eye(k), -slope)
             value = cost - g @ w + penalty * unit * (w @ w) / 2
             size = 1.0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .store import Scratch
+from .store import Scratch, trim
 
 #: Rows and bytes of whole texts that a shard of the labelled rows holds on average. All shards are used.
 SHARD_ROWS, SHARD_BYTES = 6000, 32 << 20
@@ -315,6 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, shar
             if by:
                 _move(m, d, moved, by)
         shared.destroy()
+        trim(docs.sparkSession)
     if len(models) > 1:
         _calibrate(model, trial, shards)
     scratch.drop(shards)

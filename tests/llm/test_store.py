@@ -1,6 +1,8 @@
 """What a saved table leaves behind."""
 
+import re
 import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -23,3 +25,24 @@ def test_a_saved_table_leaves_no_shuffle_files(spark):
         time.sleep(0.25)
     assert not left and spark.conf.get(_CLEANUP) == setting
     assert {r["k"]: r["count"] for r in saved.collect()} == {k: len(range(k, 1000, 7)) for k in range(7)}
+
+
+def native_mb(spark):
+    status = Path(f"/proc/{spark._jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup").read_text()
+    return int(re.search(r"\nPss_Anon:\s+(\d+)", status)[1]) / 1024
+
+
+def test_a_saved_table_leaves_no_freed_native_memory(spark):
+    one = spark.range(1)
+    Scratch(spark, "test").save(one, "first")  # loads the classes
+    allocate, held = spark._jvm.java.nio.ByteBuffer.allocateDirect, []
+    for _ in range(3000):  # below the size that glibc maps on its own
+        held.append(allocate(65_536))
+    last = held.pop()  # pins the end of the arena
+    full = native_mb(spark)
+    held.clear()
+    for _ in range(3):
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+    Scratch(spark, "test").save(one, "second")
+    assert native_mb(spark) < full - 100 and last.capacity() == 65_536
